@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from stratalens.llm import packing, secrets
+from stratalens.llm import langid, neardup, packing, quality, secrets, toxicity
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
+    "op5_quality": quality.op5_quality,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_secret_ledger": secrets.op8_secret_ledger,
     "op9_packing": packing.op9_packing,
+    "op10_near_duplicates": neardup.op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
