@@ -11,8 +11,8 @@ that hold a term of either text, at the scale where most agree.
 
 Size of the lexicon: at most (mean distinct terms of a document) / ``low`` terms, since
 their document frequencies add up to no more than all distinct terms.  It does not grow
-with the corpus, so it is one bounded value (a scalar subquery): a table of 2**14 cells
-of term hashes, looked up within the row.  Texts move once, by ranges of ids, to meet
+with the corpus, so it is one bounded constant of the plan: a table of 2**14 cells of
+term hashes, looked up within the row.  Texts move once, by ranges of ids, to meet
 their successor; a range's first text is copied to the range before it.
 
 A text without lexicon terms has the hash of all its sorted distinct terms (prefix
@@ -33,12 +33,14 @@ from stratalens.llm.base import read
 #: Runs of these separate terms: ASCII but letters and digits.
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CELLS = 1 << 14
-#: (share of the lexicon as a power of two, number of subsets)
-SCALES = ((2, 8), (5, 8), (8, 16))
+#: (share of the lexicon as a power of two, number of subsets).  Subsets of one scale are disjoint:
+#: those of the terms whose hash has a given value in the scale's bits.
+SCALES = ((2, 4), (5, 8), (8, 16))
+OFFSETS = (40, 44, 52)
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(F.lower(text), GAPS)), lambda t: F.length(t) > 0)
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), GAPS)), "")
 
 
 def lexicon(texts: DataFrame, n: int, low: float, high: float) -> DataFrame:
@@ -48,29 +50,46 @@ def lexicon(texts: DataFrame, n: int, low: float, high: float) -> DataFrame:
 
 
 def lookup(found: DataFrame) -> Column:
-    """The lexicon as one value: for each cell the hashes that fall into it."""
-    cells = found.groupBy(F.pmod("h", F.lit(CELLS)).cast("int").alias("cell")).agg(F.collect_list("h").alias("hs"))
+    """The lexicon as one constant: for each cell the hashes that fall into it."""
+    cells = found.groupBy(F.pmod("h", F.lit(CELLS)).cast("int").alias("cell")).agg(F.sort_array(F.collect_list("h")).alias("hs"))
     every = found.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(cells, "cell", "left")
     table = every.agg(F.sort_array(F.collect_list(F.struct("cell", F.coalesce("hs", F.array().cast("array<bigint>")).alias("hs")))).alias("t"))
-    return table.select(F.transform("t", lambda x: x["hs"])).scalar()
+    return F.from_json(F.lit(table.select(F.to_json(F.transform("t", lambda x: x["hs"]))).first()[0]), "array<array<bigint>>")
 
 
 def kept_hashes(text: Column, table: Column) -> Column:
     """Sorted distinct hashes of a text's lexicon terms."""
     hashes = F.transform(terms(text), lambda t: F.xxhash64(t))
-    return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: F.array_contains(F.get(table, F.pmod(h, F.lit(CELLS)).cast("int")), h))))
+    return F.sort_array(F.array_distinct(F.filter(hashes, lambda h: F.array_contains(F.get(table, F.pmod(h, F.lit(CELLS)).cast("int")), h))))
 
 
-def fingerprint(text: Column, kept: Column) -> Column:
-    """struct<main: string, parts: array<string>>; a part is null if its subset has no term of the text."""
-    rest = F.when(F.size(terms(text)) > 0, F.xxhash64(F.array_sort(terms(text)))).otherwise(F.xxhash64(text, F.lit("text")))
-    main = F.when(F.size(kept) > 0, F.hex(F.xxhash64(kept))).otherwise(F.concat(F.lit("r"), F.hex(rest)))
-    parts = []
-    for scale, (power, n) in enumerate(SCALES):
-        for k in range(n):
-            own = F.filter(kept, lambda h, s=scale, k=k, p=power: F.pmod(F.xxhash64(h, F.lit(97 * s + k)), F.lit(1 << p)) == 0)
-            parts.append(F.when(F.size(own) > 0, F.lower(F.hex(F.xxhash64(own).bitwiseAND(F.lit(0xFFFFFFFF))))))
-    return F.struct(F.lower(main).alias("main"), F.array(*parts).alias("parts"))
+def with_fingerprints(rows: DataFrame, named: dict[str, tuple[str, str]]) -> DataFrame:
+    """Replaces the columns of each (text, kept) by struct<main: string, parts: array<string>>, null for null text.
+
+    A part is null if its subset has no term of the text.  Each step is a projection of
+    its own, so that no list is filtered twice.
+    """
+    gone = [c for pair in named.values() for c in pair]
+    for name, (_, kept) in named.items():
+        for scale, (at, (power, n)) in enumerate(zip(OFFSETS, SCALES, strict=True)):
+            some = F.col(kept) if n == 1 << power else F.filter(kept, lambda h: subset_of(h, at, power) < n)  # noqa: B023
+            rows = rows.withColumn(f"{name}_{scale}", some)
+            gone.append(f"{name}_{scale}")
+    for name, (text, kept) in named.items():
+        every = terms(F.col(text))
+        rest = F.when(F.size(every) > 0, F.xxhash64(F.sort_array(every))).otherwise(F.xxhash64(text, F.lit("text")))
+        main = F.when(F.size(kept) > 0, F.hex(F.xxhash64(kept))).otherwise(F.concat(F.lit("r"), F.hex(rest)))
+        lists = []
+        for scale, (at, (power, n)) in enumerate(zip(OFFSETS, SCALES, strict=True)):
+            lists += [F.filter(f"{name}_{scale}", lambda h: subset_of(h, at, power) == k) for k in range(n)]  # noqa: B023
+        parts = F.transform(F.array(*lists), lambda x: F.when(F.size(x) > 0, F.lower(F.hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF))))))
+        rows = rows.withColumn(name, F.when(F.col(text).isNotNull(), F.struct(F.lower(main).alias("main"), parts.alias("parts"))))
+    return rows.drop(*gone)
+
+
+def subset_of(h: Column, at: int, power: int) -> Column:
+    """The number in ``power`` bits of a term's hash."""
+    return F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << power) - 1))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -89,16 +108,35 @@ def shown(print_: Column) -> Column:
     return F.concat(print_["main"], F.lit(":"), F.array_join(print_["parts"], ".", "-"))
 
 
-def with_next(docs: DataFrame, n: int, least: int, most: int) -> DataFrame:
+def part_of(docs: DataFrame, n: int, per: int, most: int = 1000) -> Column:
+    """The range of ids a row falls into, about ``per`` rows each; -1 for a null id.
+
+    Up to ``most`` ranges have quantiles of the ids as bounds; beyond that each of these
+    is divided evenly.
+    """
+    wanted = max(1, -(-n // per))
+    coarse = min(wanted, most)
+    shares = [k / coarse for k in range(coarse)]
+    bounds = sorted({int(x) for x in docs.agg(F.percentile_approx("doc_id", F.lit(shares), 20 * coarse)).first()[0] or [0]})
+    bounds[0] = min(bounds[0], int(docs.agg(F.min("doc_id")).first()[0] or 0))
+    fine = -(-wanted // coarse)
+    table = F.lit(bounds)
+    at = F.size(F.filter(table, lambda b: b <= F.col("doc_id")))
+    if fine == 1:
+        return F.coalesce(F.when(F.col("doc_id").isNotNull(), at), F.lit(-1)).cast("long")
+    low, high = F.get(table, at - 1).cast("double"), F.coalesce(F.get(table, at).cast("double"), F.lit(float(bounds[-1])) + 2.0 * fine)
+    step = F.least(F.lit(fine - 1), F.floor((F.col("doc_id").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * fine))
+    return F.coalesce(at * fine + step, F.lit(-1)).cast("long")
+
+
+def with_next(docs: DataFrame, n: int) -> DataFrame:
     """docs (doc_id, text) with ``next``, the text of the row after, and ``place`` (range, copy, order).
 
-    Ranges of ids hold about max(1024, sqrt n) rows, so there are at most sqrt n of them:
-    the bound of the small table of their first rows.  Copied first rows are kept, as ``copy``.
+    Ranges of ids hold about max(1024, sqrt n) rows, so there are about sqrt n of them at
+    most: the bound of the small table of their first rows.  Copied first rows are kept,
+    as ``copy``.
     """
-    per = max(1024, isqrt(n))
-    width = max(1.0, (float(most) - float(least) + 1) * per / max(n, 1))
-    part = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(least)) / width), F.lit(-1)).cast("long")
-    rows = docs.select("doc_id", "text", part.alias("part"), F.xxhash64("text").alias("tie"))
+    rows = docs.select("doc_id", "text", part_of(docs, n, max(1024, isqrt(n))).alias("part"), F.xxhash64("text").alias("tie"))
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("o"), F.col("doc_id").isNotNull().alias("known"), "tie")
     heads = rows.groupBy("part").agg(F.min(order).alias("head"))
     whole = Window.partitionBy(F.lit(0)).orderBy("part")
@@ -113,17 +151,15 @@ def with_next(docs: DataFrame, n: int, least: int, most: int) -> DataFrame:
 def fingerprints(docs: DataFrame, low: float = 0.002, high: float = 0.1) -> DataFrame:
     """One row for each row of docs (doc_id, text): see the module."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n, least, most = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    n = docs.count()
     table = lookup(lexicon(docs, n, low, high))
-    rows = with_next(docs, n, least or 0, most or 0)
+    rows = with_next(docs, n)
     chars, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), chars - half), F.substring(F.col("next"), F.lit(1), half))
     rows = rows.select("part", "copy", "tie", "doc_id", "text", chars.cast("long").alias("n_chars"), F.when(~F.col("copy"), edited).alias("edited"))
-    rows = rows.select("*", kept_hashes(F.col("text"), table).alias("own"), kept_hashes(F.col("edited"), table).alias("other"))
-    rows = rows.select(
-        "part", "copy", "tie", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text"), F.col("own")).alias("f"), F.when(~F.col("copy"), fingerprint(F.col("edited"), F.col("other"))).alias("g"),
-    )
+    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
+    rows = rows.withColumn("own", kept_hashes(F.col("text"), table)).withColumn("other", kept_hashes(F.col("edited"), table))
+    rows = with_fingerprints(rows, {"f": ("text", "own"), "g": ("edited", "other")})
     place = Window.partitionBy("part").orderBy("copy", F.asc_nulls_first("doc_id"), "tie")
     rows = rows.withColumn("h", F.lead("f").over(place)).where(~F.col("copy"))
     return rows.select(
