@@ -1,7 +1,8 @@
 """Operator 7: toxicity by a counterfactual-regularised classifier.
 
-Features of a text: which words and word beginnings (3 to 6 bytes) it holds, hashed, so
-inflected forms of a stem count together.  The most telling of them over the labelled
+Features of a text: which words and word beginnings (3 to 7 bytes) it holds, holds often
+and holds densely, hashed, so inflected forms of a stem count together and a single
+chance occurrence in a long text need not count like a text full of them.  The most telling of them over the labelled
 sample (by a two-proportion z score) make a logistic model.  Its penalty: each labelled
 text that mentions an identity term, and each neutral template sentence, is also read
 with the term swapped for another of the same kind; squared differences of the two
@@ -32,7 +33,7 @@ from stratalens.llm import textnum
 from stratalens.llm.base import crc_mod, read, tune
 
 CELLS = 1 << 18
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7)
 
 #: Terms of one row may stand for each other.
 IDENTITY = (
@@ -62,22 +63,39 @@ def swapped(text: str) -> str | None:
     return out if n else None
 
 
-def hashed(text: str | None):
-    """Feature cells of a whole text, repeated as they occur, in arrays."""
-    if not text:
-        return
-    for a in textnum.stretches(text.lower().encode("utf-8", "replace"), textnum.NOT_LETTERS):
+def marks(text: str | None, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct cells of words and word beginnings of a whole text, how often each occurs, and the number of words.
+
+    wanted: for each cell whether to return it.
+    """
+    found, counts, n_words = [], [], 0
+    for a in textnum.stretches((text or "").lower().encode("utf-8", "replace"), textnum.NOT_LETTERS):
         starts, ends = textnum.spans(a, textnum.NOT_LETTERS)
         sums, length = textnum.prefix_sums(a), ends - starts
-        yield textnum.span_hashes(sums, starts, ends) & np.uint64(CELLS - 1)
+        own = [textnum.span_hashes(sums, starts, ends) & np.uint64(CELLS - 1)]
         for n in BEGINNINGS:
             at = starts[length >= n]
-            yield (textnum.span_hashes(sums, at, at + n) + np.uint64(n * 7919)) & np.uint64(CELLS - 1)
+            own.append((textnum.span_hashes(sums, at, at + n) + np.uint64(n * 7919)) & np.uint64(CELLS - 1))
+        own = np.concatenate(own).astype(np.int64)
+        cell, count = np.unique(own if wanted is None else own[wanted[own]], return_counts=True)
+        found.append(cell)
+        counts.append(count)
+        n_words += len(starts)
+    if len(found) == 1:
+        return found[0], counts[0], n_words
+    # The stretches of a long text are added up.
+    cell, back = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_inverse=True)
+    return cell, np.bincount(back, np.concatenate([np.zeros(0), *counts])).astype(np.int64), n_words
+
 
+#: (shift, least occurrences, least share of words): a cell that occurs so often is also the cell after the shift.
+FORMS = ((0, 1, 0.0), (40_503, 2, 0.0), (81_006, 4, 0.0), (86_243, 2, 1 / 100), (172_486, 2, 1 / 30))
 
-def cells(text: str | None) -> np.ndarray:
-    """Sorted distinct feature cells of a whole text."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashed(text)])).astype(np.int64)
+
+def cells(text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Distinct feature cells of a whole text: what it holds at all, often, and densely."""
+    cell, count, n_words = marks(text, wanted)
+    return np.unique(np.concatenate([(cell[count >= max(least, share * n_words)] + shift) % CELLS for shift, least, share in FORMS]))
 
 
 @dataclass
@@ -86,9 +104,14 @@ class Model:
     weights: np.ndarray
     intercept: float
 
+    def __post_init__(self):
+        self.wanted = np.zeros(CELLS, bool)
+        for shift, _, _ in FORMS:
+            self.wanted[(np.flatnonzero(self.chosen >= 0) - shift) % CELLS] = True
+
     def score(self, text: str | None) -> float:
-        at = [self.chosen[found] for found in hashed(text)]
-        at = np.unique(np.concatenate([c[c >= 0] for c in at])) if at else np.zeros(0, np.int64)
+        at = self.chosen[cells(text, self.wanted)]
+        at = at[at >= 0]
         return float(textnum.sigmoid(np.float64(self.weights[at].sum() + self.intercept)))
 
 
