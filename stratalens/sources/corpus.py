@@ -1,0 +1,209 @@
+"""A small source tree held in memory, for queries and tests on code: ``TEXTS`` maps paths to texts.
+
+Values that look like secrets are put together here, so that no file of the repository holds one.
+"""
+
+from __future__ import annotations
+
+from textwrap import dedent
+
+from pyspark.sql import DataFrame, SparkSession
+
+from stratalens.sources.files import literal
+
+_Q = '"' * 3
+_KEY = "AK" + "IA" + "ABCDEFGHIJ234567"
+_HEX = "gh" + "p_" + "a1B2" * 9
+_RANDOM = "q8Zr2LmX" + "0vTk5YpWb7NsHd3J" + "cGe9"
+
+TEXTS = {
+    path: dedent(text).lstrip("\n")
+    for path, text in {
+        "pkg/__init__.py": "from . import a\n",
+        "pkg/a.py": """
+            import pkg.b
+            from pkg import c
+
+            def first(x):
+                return pkg.b.second(x)
+            """,
+        "pkg/b.py": """
+            from .c import third
+
+            def second(x):
+                return third(x)
+            """,
+        "pkg/c.py": """
+            from pkg.a import first
+            import pkg.c
+
+            def third(x):
+                return first(x)
+            """,
+        "tool.py": """
+            import importlib
+            plugin = importlib.import_module("plugins.fast")
+            names = ["plugins.slow", "scripts/helper.py"]
+            """,
+        "plugins/fast.py": "SPEED = 3\n",
+        "plugins/slow.py": "SPEED = 1\n",
+        "plugins/unused.py": "SPEED = 2\n",
+        "scripts/helper.py": "print('help')\n",
+        "orphan.py": "def lonely():\n    return 1\n",
+        "broken.py": "import orphan_not\nfrom metrics import area\ndef (:\n",
+        "test_tool.py": "import tool\n\ndef test_tool():\n    try:\n        pass\n    except:\n        pass\n",
+        "metrics.py": """
+            class Shape:
+                def area(self, w, h):
+                    # width first
+                    if w > 0 and h > 0:
+                        for k in range(w):
+                            if k % 2:
+                                h += 1
+                            elif k > 7:
+                                h += 2
+                    return w * h
+
+                class Inner:
+                    async def wait(self):
+                        async with self.lock:
+                            assert self.ready
+                        return [x for x in self.rows if x if x > 1]
+
+            def outer(a):
+                def inner(b):
+                    return b if b else 0
+                while a:
+                    try:
+                        a = inner(a) or a - 1
+                    except ValueError:
+                        break
+                if a:
+                    def hidden():
+                        return 2
+
+            def flat():
+
+                return 5
+            """,
+        "errors.py": f"""
+            import requests
+
+            def load(path):
+                try:
+                    return open(path)
+                except:
+                    pass
+
+            def fetch(url):
+                data = requests.get(url)
+                try:
+                    return data.json()
+                except Exception:
+                    {_Q}ignored{_Q}
+                raise Exception("bad")
+
+            def pick(n):
+                if n:
+                    return n
+                return
+
+            def later(n):
+                for k in n:
+                    if k:
+                        return k
+                print(n)
+
+            def fine(n):
+                try:
+                    return open(n)
+                except (OSError, ValueError) as e:
+                    raise RuntimeError("no") from e
+            """,
+        "dup1.py": """
+            def total(rows):
+                s = 0  # running
+                for r in rows:
+                    if r > 10:
+                        s += r * 2
+                print("done", s)
+                return s
+            """,
+        "dup2.py": """
+            import sys
+            def summed(items):
+                acc = 1
+                for item in items:
+                    if item > 99:
+                        acc += item * 3
+                print('finished', acc)
+                return acc
+            """,
+        "dup3.py": """
+            value = 7
+            def summed(things):
+                acc = 1
+                for thing in things:
+                    if thing > 12:
+                        acc += thing * 4
+                print("over", acc)
+                other()
+            """,
+        "secrets.py": f"""
+            access = "{_KEY}"
+            gh = '{_HEX}'
+            password = "hunter2!"
+            api_key: str = load()
+            signing = "{_RANDOM}"
+            url = "postgres://bob:pw1@db.local/x"
+            path_key = "/usr/share/{_RANDOM}"
+            """,
+        "stale.py": f"""
+            # TODO: split this
+            x = 1  # FIXME trailing ones are not seen
+            {_Q}
+            hack: inside a string
+            {_Q}
+            # total = 0
+            # for x in rows:
+            #     total = x
+            # plain words here
+
+            # just prose
+            # more prose
+            # and more
+            """,
+        "stale.m": """
+            % XXX look again
+            %! kept
+            % y = 3;
+            % if y
+            % end
+            y = 4;
+            """,
+    }.items()
+}
+
+#: (path, line, author, ts_epoch); ``NOW`` is the time the ages are taken from.
+NOW = 1_700_000_000
+BLAME = [
+    ("stale.py", 1, "ann", NOW - 10 * 86_400),
+    ("stale.py", 4, "bob", NOW - 200 * 86_400),
+    ("stale.py", 6, "ann", NOW - 40 * 86_400),
+    ("stale.py", 8, "bob", NOW - 400 * 86_400),
+    ("stale.m", 1, "cid", NOW - 364 * 86_400),
+]
+
+
+def files(spark: SparkSession) -> DataFrame:
+    return literal(spark, TEXTS)
+
+
+def blame(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(BLAME, "path string, line int, author string, ts_epoch long")
+
+
+def values_sql() -> str:
+    """The tree as a DuckDB VALUES list of (path, text)."""
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join(f"({quote(p)}, {quote(t)})" for p, t in sorted(TEXTS.items())) + ") AS f(path, text)"
