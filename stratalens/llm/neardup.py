@@ -4,14 +4,15 @@ Tensored banding: two collections of ``side`` sketches, each sketch ``rows`` min
 hashes; table (i, j) keys on the pair of sketch i of the first and sketch j of the
 second.  side**2 tables come from 2*side*rows minimum hashes instead of
 side**2*2*rows.  At likeness s a pair shares no table with probability
-1 - (1 - (1 - s**rows)**side)**2: 0.0006 at 0.8 and 0.00007 at 0.85 for rows 2, side 8.
+1 - (1 - (1 - s**rows)**side)**2: 0.0007 at 0.8 and 0.00006 at 0.85 for rows 3, side 11.
 
 Equal shingle sets are one class from the start, so copies never meet in a table.
-Candidates are confirmed on full shingle sets.  A bucket is first verified as a star
-around one leader (linear in the bucket), links are joined into components, and then
-only pairs of *different* components that share a bucket are verified.  Within a
-component further links change nothing, so the components are those of all candidate
-pairs, without emitting all pairs of a bucket.
+Candidates are confirmed on full shingle sets.  A bucket is verified as a star around
+one leader (linear in the bucket), links are joined into components, and the leader,
+which has met all others, leaves the bucket.  After ``rounds`` rounds, documents that
+still share a bucket with another component meet exactly: through their rarest shingles
+(see ``_rare_pairs``).  Within a component further links change nothing, so the
+components are those of all candidate pairs, without emitting all pairs of a bucket.
 
 Nulls, empty and wordless texts: empty set, linked with nothing, kept.  A null id
 counts in the class of its set but never names a component; alone it has a null
@@ -118,7 +119,48 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 2, side: int = 8) -> DataFrame:
+def _relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels after links between the vertices (a, b) of ``more``; a vertex without a label is its own."""
+    of = lambda side: labels.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
+    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    joined = stage(joined, "relabel")
+    ends = joined.select(F.col("a").alias("v"), F.col("ca").alias("c")).union(joined.select("b", "cb"))
+    every = labels.union(ends).distinct()
+    low = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("v").alias("c"), F.col("c").alias("low"))
+    return stage(every.join(low, "c", "left").select("v", F.coalesce("low", "c").alias("c")), "labels")
+
+
+def _rare_pairs(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components of rest (id, n, c) that can meet the likeness; none that does is missing.
+
+    Two sets as alike as that share one of their n - ceil(n * likeness) + 1 first shingles in
+    any common order; the rarest first here, so what only holds a common passage in common
+    does not meet.
+    """
+
+    def work(batches):
+        for batch in batches:
+            found = [textnum.shingle_set(raw, words) for raw in as_bytes(batch.column(1))]
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
+            h = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h)], ["id", "h"])
+
+    tokens = stage(texts.join(rest, "id", "left_semi").select("id", "text").mapInArrow(work, "id long, h long"), "tokens")
+    common = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("id")
+    placed = tokens.join(common, "h").select("id", "h", F.row_number().over(own.orderBy("df", "h")).alias("at"), F.count("*").over(own).alias("held"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    kept = placed.join(rest, "id").select("id", "n", "c", "h", (F.col("n") - F.col("held") + F.col("at")).alias("p"))
+    kept = stage(kept.where(F.col("p") <= first), "prefixes")
+    mixed = kept.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h")
+    kept = stage(kept.join(mixed, "h", "left_semi"), "prefixes")
+    other = kept.select("h", F.col("id").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("p").alias("q"))
+    # From the first shingle shared on, the sets must have enough places left for the likeness.
+    room = (100 + percent) * (1 + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))) >= percent * (F.col("n") + F.col("m"))
+    return kept.join(other, "h").where("c < d").where(_alike("n", "m", percent) & room).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 3, side: int = 11, rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     tune(spark)
@@ -131,30 +173,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
 
     tables = F.array(*(F.xxhash64(F.lit(i * side + j), F.col(f"m{i}"), F.col(f"m{side + j}")) for i in range(side) for j in range(side)))
     keyed = classes.select("id", F.col("n_shingles").alias("n"), F.explode(tables).alias("bucket"))
-    bucket = Window.partitionBy("bucket")
-    first = F.min(F.struct(F.xxhash64("id").alias("o"), "id", "n")).over(bucket)
-    shared = keyed.select("bucket", "id", "n", first.alias("lead"), F.count("*").over(bucket).alias("held")).where("held > 1")
-    shared = stage(shared.select("bucket", "id", "n", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets")
-
-    some = shared.where(F.col("id") != F.col("lead")).where(_alike("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    some = stage(some, "stars")
-    wanted = shared.select("id").distinct()
+    shared = keyed.select("bucket", "id", "n", F.count("*").over(Window.partitionBy("bucket")).alias("held")).where("held > 1")
+    shared = stage(shared, "buckets")
+    # What shares most places with others is likeliest the original of a group of copies: it leads first.
+    degrees = shared.groupBy("id").agg(F.sum("held").alias("degree"))
+    texts = docs.join(degrees.select("id"), docs.doc_id == F.col("id")).join(classes.select(F.col("id").alias("doc_id"), *key), "doc_id").select("id", "text", *key)
     # One row for each id, even if ids repeat: any row of the class has the same set.
-    texts = docs.join(wanted, docs.doc_id == wanted.id).join(classes.select(F.col("id").alias("doc_id"), *key), "doc_id").select("id", "text", *key)
     texts = stage(_of_class(texts, words).select("id", "text").dropDuplicates(["id"]), "texts")
-    links = stage(_verified(some, texts, words, percent), "links")
-    labels = components(links)
-
-    held = shared.join(labels, shared.id == labels.v, "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("c"))
-    mixed = held.withColumn("least", F.min("c").over(bucket)).withColumn("most", F.max("c").over(bucket)).where("least <> most").select("bucket", "id", "n", "c")
-    mixed = stage(mixed, "mixed")
-    other = mixed.select("bucket", F.col("id").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    rest = mixed.join(other, "bucket").where("c < d").where(_alike("n", "m", percent)).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    done = some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stage(rest.join(done, ["a", "b"], "left_anti"), "rest")
-    more = stage(_verified(rest, texts, words, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    left = stage(shared.join(degrees, "id").select("bucket", "id", "n", "degree"), "members")
+
+    labels = spark.createDataFrame([], "v long, c long")
+    for turn in range(rounds):
+        held = left.join(labels, left.id == labels.v, "left").select("bucket", "id", "n", "degree", F.coalesce("c", "id").alias("c"))
+        # One member of each component of a bucket, and of these the leader: the best linked, then one of the smallest component.
+        per = held.groupBy("bucket", "c").agg(F.count("*").alias("k"), F.max(F.struct("degree", F.xxhash64("id").alias("o"), "id", "n")).alias("one"))
+        size = F.lit(0) if turn == 0 else -F.col("k")
+        leads = per.groupBy("bucket").agg(F.max(F.struct(size.alias("k"), "one", "c")).alias("lead"), F.count("*").alias("held")).where("held > 1")
+        leads = leads.select("bucket", F.col("lead.one.id").alias("lead"), F.col("lead.one.n").alias("lead_n"), F.col("lead.c").alias("lead_c"))
+        open_ = stage(held.join(leads, "bucket").where(F.col("id") != F.col("lead")), "members")
+        found = open_.where("c <> lead_c").where(_alike("n", "lead_n", percent)).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+        links = stage(_verified(stage(found.distinct(), "pairs"), texts, words, percent), "links")
+        if not links.isEmpty():
+            labels = _relabelled(labels, links)
+        left = open_.select("bucket", "id", "n", "degree")  # the leader has met all others
+
+    held = left.join(labels, left.id == labels.v, "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("c"))
+    mixed = held.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
+    rest = stage(held.join(mixed, "bucket", "left_semi").select("id", "n", "c").distinct(), "rest")
+    if not rest.isEmpty():
+        links = stage(_verified(stage(_rare_pairs(rest, texts, words, percent), "pairs"), texts, words, percent), "links")
+        if not links.isEmpty():
+            labels = _relabelled(labels, links)
 
     named = classes.join(labels, classes.id == labels.v, "left").select(*key, F.coalesce("c", "id").alias("component"))
     out = sketched.select("doc_id", *key).join(named, key, "left")
