@@ -197,9 +197,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
             labels = _relabelled(labels, links)
         left = open_.select("bucket", "id", "n", "degree")  # the leader has met all others
 
-    held = left.join(labels, left.id == labels.v, "left").select("bucket", "id", "n", F.coalesce("c", "id").alias("c"))
-    mixed = held.groupBy("bucket").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
-    rest = stage(held.join(mixed, "bucket", "left_semi").select("id", "n", "c").distinct(), "rest")
+    rest = left.select("id", "n").distinct().join(labels, F.col("id") == labels.v, "left").select("id", "n", F.coalesce("c", "id").alias("c"))
+    rest = stage(rest, "rest")
     if not rest.isEmpty():
         links = stage(_verified(stage(_rare_pairs(rest, texts, words, percent), "pairs"), texts, words, percent), "links")
         if not links.isEmpty():
