@@ -12,10 +12,10 @@ menus, comments and the like are never text, and what stands in ``article`` or `
 is the article and is never deleted; with such an element the rest of the page is not
 text.  So the difference decides on pages without these elements.
 
-Pages of a host beyond ``hot`` pages, and beyond a thousandth of all pages, are dealt
-into chunks of about ``chunk`` by a hash of the path and paired within them, so that a
-host with a third of all pages is no single group.  At most 1000 hosts can be so large,
-which bounds the table of them that is broadcast.
+Pages lie in ranges of (host, path), of about max(``per``, sqrt n) rows, so that a host
+with a third of all pages is no single group.  Runs of pages with equal lines count as
+one.  Pages at the end of a range get the runs beyond it from a walk over the outer runs
+of all ranges (a few for each), so the text does not depend on where ranges end.
 
 Nulls: null html is empty text; a null or odd URL counts as host '' and path ''; null
 ids are kept.  Repeated rows are copies of each other, so nothing is deleted for them.
@@ -27,13 +27,14 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.base import read, tune
+from stratalens.llm.base import read, stage, tune
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -150,7 +151,7 @@ def common(a: list, b: list) -> list[int]:
 
 
 def differenced(own: list[str], neighbours: list[list[str] | None]) -> list[str]:
-    """Lines of a page without those it shares with a neighbour of the same template."""
+    """Lines of a page without those it shares with neighbours of the same template."""
     gone: set[int] = set()
     whole = sum(map(len, own))
     for other in neighbours:
@@ -160,37 +161,137 @@ def differenced(own: list[str], neighbours: list[list[str] | None]) -> list[str]
     return [x for i, x in enumerate(own) if i not in gone]
 
 
-def extract(pages: DataFrame, hot: int = 2000, chunk: int = 512) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages (page_id, url, html)."""
-    tune(pages.sparkSession)
+#: Pages of other lines that are looked at on each side.
+NEAR = 1
+
+
+def runs(rows: list[tuple]) -> list[list[int]]:
+    """Positions of rows (host, lines, ..), in order, by runs of one host and equal lines; pages without lines are left out."""
+    out: list[list[int]] = []
+    for k, row in enumerate(rows):
+        if row[1]:
+            if out and rows[out[-1][0]][:2] == row[:2]:
+                out[-1].append(k)
+            else:
+                out.append([k])
+    return out
+
+
+def extract(pages: DataFrame, per: int = 256) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row of pages (page_id, url, html); ``per``: rows of a range, which the result does not depend on."""
+    spark = pages.sparkSession
+    tune(spark)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
+    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
+    order = F.struct(host.alias("host"), path.alias("path"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), F.coalesce("url", F.lit("")).alias("u"), F.col("page_id").isNotNull().alias("known"), F.xxhash64("html").alias("tie"))
+    n = pages.count()
+    wanted = -(-n // max(per, isqrt(n)))
+    chance = F.pmod(F.xxhash64(F.lit("range"), "page_id", "url"), F.lit(1 << 30)) / float(1 << 30)
+    seen = sorted(tuple(r[0]) for r in rows.where(chance < 40 * wanted / max(n, 1)).select(order).limit(80 * wanted).collect()) if wanted > 1 else []
+    bounds = sorted({seen[k * len(seen) // wanted] for k in range(1, wanted)}) if seen else []
+    keyed = rows.withColumn("o", order)
 
     def parse(batches):
         for batch in batches:
-            article, rest = [], []
-            for page in batch.column(2).to_pylist():
+            part, kept, marked = [], [], []
+            for key, page in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = lines(page)
                 inside = [x for x, own in found if own]
-                article.append("\n".join(inside) if inside else None)
-                rest.append([x for x, own in found if not own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(article, pa.string()), pa.array(rest, pa.list_(pa.string()))], ["page_id", "url", "article", "rest"])
+                kept.append(inside or [x for x, _ in found])
+                marked.append(bool(inside))
+                part.append(bisect_right(bounds, tuple(key.values())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(part, pa.int32()), pa.array(kept, pa.list_(pa.string())), pa.array(marked, pa.bool_())], ["page_id", "url", "o", "part", "lines", "marked"])
+
+    def within(batches):
+        """Each range: the text of the pages whose neighbours are in it; the others keep their lines, and what is known of their neighbours."""
 
-    def difference(batches):
+        def settled(part, held):
+            found = runs([(r[2], r[3]) for r in held])
+            where = {k: i for i, run in enumerate(found) for k in run}
+            done: dict = {}
+            for k, (page, url, host_, own, marked) in enumerate(held):
+                i = where.get(k)
+                if i is None:
+                    yield page, url, host_, "", None, None, None, part, -1, False, marked
+                    continue
+                # A side is known if enough runs of the range, or a run of another host, lie on it.
+                sides, known = [], True
+                for step in (-1, 1):
+                    near, j = [], i + step
+                    while 0 <= j < len(found) and len(near) < NEAR and held[found[j][0]][2] == host_:
+                        near.append(held[found[j][-1 if step < 0 else 0]][3])
+                        j += step
+                    known &= len(near) == NEAR or 0 <= j < len(found)
+                    sides.append(near)
+                edge = k == found[i][0] and (i < NEAR + 1 or i >= len(found) - NEAR - 1)
+                text = None
+                if known:
+                    if i not in done:
+                        done = {i: main_text(own, sides[0] + sides[1], marked)} if len(set(map(bool, (held[x][4] for x in found[i])))) == 1 else {}
+                    text = done[i] if i in done else main_text(own, sides[0] + sides[1], marked)
+                yield page, url, host_, text, own if edge or not known else None, None if known else sides[0], None if known else sides[1], part, i, edge, marked
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _WITHIN.types, strict=True)], _WITHIN.names)
+
+        at, held = None, []
         for batch in batches:
-            article, rest, before, after = (batch.column(k).to_pylist() for k in range(2, 6))
-            text = [x if x is not None else "\n".join(differenced(own, [b, a])) for x, own, b, a in zip(article, rest, before, after, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            for page, url, key, part, own, marked in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if part != at and held:
+                    yield batch_of(list(settled(at, held)))
+                    held = []
+                at = part
+                held.append((page, url, key["host"], own, marked))
+        if held:
+            yield batch_of(list(settled(at, held)))
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    counts = pages.select(F.col("url").cast("string").alias("url")).groupBy(host.alias("host")).count()
-    n = pages.count()
-    large = counts.where(F.col("count") > max(hot, n / 1000)).select("host", F.ceil(F.col("count") / chunk).alias("chunks"))
-    parsed = rows.mapInArrow(parse, "page_id long, url string, article string, rest array<string>")
-    parsed = parsed.withColumn("host", host).withColumn("path", path).join(F.broadcast(large), "host", "left")
-    near = Window.partitionBy("host", F.pmod(F.xxhash64("path"), F.coalesce("chunks", F.lit(1)))).orderBy("path", "page_id", "url")
-    paired = parsed.select("page_id", "url", "article", "rest", F.lag("rest").over(near).alias("before"), F.lead("rest").over(near).alias("after"))
-    return paired.mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+    def beyond(step):
+        """For each range, in order, the nearest runs of the ranges passed (the nearest first): (part, host, near)."""
+
+        def walk(batches):
+            at, passed, held = None, [], []  # the nearest last; of one host
+            for batch in batches:
+                out = []
+                for part, host_, own in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    if part != at:
+                        passed = held[-NEAR - 1 :]
+                        if passed:
+                            out.append((part, passed[-1][0], [x for _, x in reversed(passed)]))
+                        at = part
+                    if held and held[-1][0] != host_:
+                        held = []
+                    if not held or held[-1][1] != own:
+                        held = [*held[-NEAR:], (host_, own)]
+                names = ["part", "host", "near"]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.string(), pa.list_(pa.list_(pa.string()))))], names)
+
+        ends = passed_on.where("edge").select("part", "host", "lines", "run").coalesce(1).sortWithinPartitions(F.col("part") * step, F.col("run") * step)
+        return ends.select("part", "host", "lines").mapInArrow(walk, "part int, host string, near array<array<string>>")
+
+    def across(batches):
+        for batch in batches:
+            text = []
+            for own, marked, before, after, far, further in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
+                near = [[*side, *[x for x in other or () if x != (side[-1] if side else own)]][:NEAR] for side, other in ((before, far), (after, further))]
+                text.append(main_text(own, near[0] + near[1], marked))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
+
+    ranged = keyed.mapInArrow(parse, f"page_id long, url string, o {keyed.schema['o'].dataType.simpleString()}, part int, lines array<string>, marked boolean")
+    ranged = ranged.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "o")
+    passed_on = stage(ranged.mapInArrow(within, "page_id long, url string, host string, text string, lines array<string>, before array<array<string>>, after array<array<string>>, part int, run int, edge boolean, marked boolean"), "pages")
+    left = passed_on.where("text is null").drop("text")
+    left = left.join(beyond(1).withColumnRenamed("near", "far"), ["part", "host"], "left").join(beyond(-1).withColumnRenamed("near", "further"), ["part", "host"], "left")
+    rest = left.select("page_id", "url", "lines", "marked", "before", "after", "far", "further").mapInArrow(across, "page_id long, url string, text string")
+    return passed_on.where("text is not null").select("page_id", "url", "text").unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def main_text(own: list[str], neighbours: list[list[str]], marked: bool) -> str:
+    """marked: the lines stand in an article or main element."""
+    return "\n".join(own if marked else differenced(own, neighbours))
+
+
+_WITHIN = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("lines", pa.list_(pa.string())), ("before", pa.list_(pa.list_(pa.string()))), ("after", pa.list_(pa.list_(pa.string()))), ("part", pa.int32()), ("run", pa.int32()), ("edge", pa.bool_()), ("marked", pa.bool_())])
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Nearest neighbours and main text of pages."""
 
+import hashlib
+
 import numpy as np
 
 from stratalens.llm import ann, htmltext
@@ -56,3 +58,21 @@ def test_pages(spark):
     assert got[3].text == "text number 3 about something else entirely" and got[3].n_chars == len(got[3].text)
     assert got[None].text == "" and got[9].text == ""
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def body(k, words=20):
+    return " ".join(hashlib.md5(f"{k}-{j}".encode()).hexdigest()[:6] for j in range(words))
+
+
+def test_pages_of_a_large_host(spark):
+    """Sections of a host are met whatever its size, and ranges don't show in the result."""
+    section = lambda k: f"{'abcdefghij'[k % 10]}{k % 97}"
+    page = lambda k: f"<body><div>Site name</div><div>Notice of {section(k)}</div><p>{body(k)}</p></body>"
+    rows = [(k, f"http://h.org/{section(k)}/{k:05}", page(k)) for k in range(2100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract(df).collect()}
+    assert got == {k: body(k) for k in range(2100)}
+    assert {r.page_id: r.text for r in htmltext.extract(df, per=10**6).collect()} == got
+    copies = [(k, f"http://h.org/{k:05}", page(k if k in (5, 190) else 7)) for k in range(200)]
+    df = spark.createDataFrame(copies, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in htmltext.extract(df, per=8).collect()} == {r.page_id: r.text for r in htmltext.extract(df, per=10**6).collect()}
