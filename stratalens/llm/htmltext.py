@@ -1,10 +1,16 @@
 """Operator 4: main text of web pages by nearest-URL page differencing.
 
 A page is cut into text lines, one a block element, in page order.  Pages of a host are
-ordered by URL path and each is paired with its neighbours there; the longest common
-subsequence of the two pages' lines is the template, and those lines are deleted.  A
-neighbour that shares more than half of the page's text is a copy of the page rather
-than a page of the same template, and deletes nothing.
+ordered by URL path and each is paired with the nearest two pages of other lines on each
+side there, so copies are passed over, however many.  The longest common subsequence of
+two pages' lines is the template, and those lines are deleted.
+
+A neighbour may be a changed copy of the page instead of a page of the same template, told
+by what remains on both sides: edits of each other (``reworded``) are a copy.  One that
+shares more than half of the page's text is a page of the template only if both keep
+lines; then a shared line is deleted if a second neighbour shares it, or there is none.  What can't be
+told: three or more pages in a row that differ in a few words only count as pages of a
+template, and among five or more edited copies in a row the inner ones delete nothing.
 
 Markup decides before the difference where it can: scripts, styles, forms, navigation,
 footers, asides and blocks whose class, id or role names them as adverts, notices,
@@ -18,7 +24,7 @@ one.  Pages at the end of a range get the runs beyond it from a walk over the ou
 of all ranges (a few for each), so the text does not depend on where ranges end.
 
 Nulls: null html is empty text; a null or odd URL counts as host '' and path ''; null
-ids are kept.  Repeated rows are copies of each other, so nothing is deleted for them.
+ids are kept.  Repeated rows are copies of each other and have the same text.
 Broken markup: unclosed elements end with their parents, unclosed comments and scripts
 with the page.  Whole pages are read and nothing is cut.
 """
@@ -28,6 +34,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from math import isqrt
 
 import pyarrow as pa
@@ -151,18 +158,43 @@ def common(a: list, b: list) -> list[int]:
 
 
 def differenced(own: list[str], neighbours: list[list[str] | None]) -> list[str]:
-    """Lines of a page without those it shares with neighbours of the same template."""
-    gone: set[int] = set()
+    """Lines of a page without those it shares with neighbours of the same template: see the module."""
+    pages = [x for x in neighbours if x and x != own]
     whole = sum(map(len, own))
-    for other in neighbours:
-        shared = common(own, other) if other else []
-        if 2 * sum(len(own[i]) for i in shared) <= whole:
+    gone: set[int] = set()
+    doubtful: Counter[int] = Counter()
+    template: set[int] = set()
+    for other in pages:
+        shared = common(own, other)
+        both = Counter(own[i] for i in shared)
+        mine, theirs = list((Counter(own) - both).elements()), list((Counter(other) - both).elements())
+        copy = reworded(mine, theirs)
+        if 2 * sum(len(own[i]) for i in shared) <= whole and not copy:
             gone.update(shared)
+            continue
+        doubtful.update(shared)
+        if mine and theirs and not copy:
+            template.update(shared)
+    gone.update(i for i in template if doubtful[i] > 1 or i in gone or len(pages) == 1)
     return [x for i, x in enumerate(own) if i not in gone]
 
 
+def reworded(a: list[str], b: list[str]) -> bool:
+    """Whether lines look like edits of each other: of ``EDITED`` words or more, at least half of the word pairs in common."""
+    pairs = []
+    for side in (a, b):
+        words = " ".join(side).split()
+        if len(words) < EDITED:
+            return False
+        pairs.append(Counter(zip(words, words[1:], strict=False)))
+    x, y = pairs
+    return 2 * (x & y).total() >= min(x.total(), y.total())
+
+
 #: Pages of other lines that are looked at on each side.
-NEAR = 1
+NEAR = 2
+#: Remains of fewer words are too short to tell an edit from another text.
+EDITED = 8
 
 
 def runs(rows: list[tuple]) -> list[list[int]]:

@@ -76,3 +76,18 @@ def test_pages_of_a_large_host(spark):
     copies = [(k, f"http://h.org/{k:05}", page(k if k in (5, 190) else 7)) for k in range(200)]
     df = spark.createDataFrame(copies, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in htmltext.extract(df, per=8).collect()} == {r.page_id: r.text for r in htmltext.extract(df, per=10**6).collect()}
+
+
+def test_pages_of_a_long_template(spark):
+    """Short articles under a long menu, and runs of copies, equal or changed, lose the template and nothing else."""
+    menu, foot = [f"menu entry number {k} of the site" for k in range(12)], ["All rights reserved", "Imprint"]
+    page = lambda *own: "<body>" + "".join(f"<div>{x}</div>" for x in [*menu, *own, *foot]) + "</body>"
+    own = {k: (f"Story {k}", body(k, 9)) for k in range(60)} | {k: ("The copy", body("copy", 80)) for k in range(20, 50)}
+    own[21] = ("The copy", body("copy", 80), "Added on Monday")
+    own[49] = ("The copy", body("copy", 80).replace(body("copy", 1), "edited"))
+    rows = [(k, f"http://h.org/{k:03}", page(*x)) for k, x in own.items()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for per in (4, 1000):
+        assert {r.page_id: r.text for r in htmltext.extract(df, per=per).collect()} == {k: "\n".join(x) for k, x in own.items()}
+    assert htmltext.differenced([*menu, "one"], [[*menu, "two"]]) == ["one"]
+    assert htmltext.differenced([*menu, "one"], [[*menu, "one", "more"]]) == [*menu, "one"]
