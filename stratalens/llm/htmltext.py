@@ -14,9 +14,9 @@ template, and among five or more edited copies in a row the inner ones delete no
 
 Markup decides before the difference where it can: scripts, styles, forms, navigation,
 footers, asides and blocks whose class, id or role names them as adverts, notices,
-menus, comments and the like are never text, and what stands in ``article`` or ``main``
-is the article and is never deleted; with such an element the rest of the page is not
-text.  So the difference decides on pages without these elements.
+menus, comments and the like are never text, and with an ``article`` or ``main`` element
+the rest of the page is not text.  The lines that are left, in or out of an article, are
+compared with those that are left of the neighbours.
 
 Pages lie in ranges of (host, path), of about max(``per``, sqrt n) rows, so that a host
 with a third of all pages is no single group.  Runs of pages with equal lines count as
@@ -209,6 +209,17 @@ def runs(rows: list[tuple]) -> list[list[int]]:
     return out
 
 
+def packed(own: list[str]) -> bytes:
+    """Lines, which hold no line ends, compressed for the exchange, behind their size."""
+    raw = "\n".join(own).encode("utf-8", "surrogatepass")
+    return len(raw).to_bytes(8, "big") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(held: bytes) -> list[str]:
+    n = int.from_bytes(held[:8], "big")
+    return pa.decompress(held[8:], n, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n") if n else []
+
+
 def extract(pages: DataFrame, per: int = 256) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages (page_id, url, html); ``per``: rows of a range, which the result does not depend on."""
     spark = pages.sparkSession
@@ -226,14 +237,13 @@ def extract(pages: DataFrame, per: int = 256) -> DataFrame:
 
     def parse(batches):
         for batch in batches:
-            part, kept, marked = [], [], []
+            part, kept = [], []
             for key, page in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = lines(page)
                 inside = [x for x, own in found if own]
-                kept.append(inside or [x for x, _ in found])
-                marked.append(bool(inside))
+                kept.append(packed(inside or [x for x, _ in found]))
                 part.append(bisect_right(bounds, tuple(key.values())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(part, pa.int32()), pa.array(kept, pa.list_(pa.string())), pa.array(marked, pa.bool_())], ["page_id", "url", "o", "part", "lines", "marked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(part, pa.int32()), pa.array(kept, pa.binary())], ["page_id", "url", "o", "part", "packed"])
 
     def within(batches):
         """Each range: the text of the pages whose neighbours are in it; the others keep their lines, and what is known of their neighbours."""
@@ -242,10 +252,10 @@ def extract(pages: DataFrame, per: int = 256) -> DataFrame:
             found = runs([(r[2], r[3]) for r in held])
             where = {k: i for i, run in enumerate(found) for k in run}
             done: dict = {}
-            for k, (page, url, host_, own, marked) in enumerate(held):
+            for k, (page, url, host_, own) in enumerate(held):
                 i = where.get(k)
                 if i is None:
-                    yield page, url, host_, "", None, None, None, part, -1, False, marked
+                    yield page, url, host_, "", None, None, None, part, -1, False
                     continue
                 # A side is known if enough runs of the range, or a run of another host, lie on it.
                 sides, known = [], True
@@ -260,21 +270,21 @@ def extract(pages: DataFrame, per: int = 256) -> DataFrame:
                 text = None
                 if known:
                     if i not in done:
-                        done = {i: main_text(own, sides[0] + sides[1], marked)} if len(set(map(bool, (held[x][4] for x in found[i])))) == 1 else {}
-                    text = done[i] if i in done else main_text(own, sides[0] + sides[1], marked)
-                yield page, url, host_, text, own if edge or not known else None, None if known else sides[0], None if known else sides[1], part, i, edge, marked
+                        done = {i: "\n".join(differenced(own, sides[0] + sides[1]))}
+                    text = done[i]
+                yield page, url, host_, text, own if edge or not known else None, None if known else sides[0], None if known else sides[1], part, i, edge
 
         def batch_of(out):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _WITHIN.types, strict=True)], _WITHIN.names)
 
         at, held = None, []
         for batch in batches:
-            for page, url, key, part, own, marked in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for page, url, key, part, own in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if part != at and held:
                     yield batch_of(list(settled(at, held)))
                     held = []
                 at = part
-                held.append((page, url, key["host"], own, marked))
+                held.append((page, url, key["host"], unpacked(own)))
         if held:
             yield batch_of(list(settled(at, held)))
 
@@ -304,26 +314,21 @@ def extract(pages: DataFrame, per: int = 256) -> DataFrame:
     def across(batches):
         for batch in batches:
             text = []
-            for own, marked, before, after, far, further in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
+            for own, before, after, far, further in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
                 near = [[*side, *[x for x in other or () if x != (side[-1] if side else own)]][:NEAR] for side, other in ((before, far), (after, further))]
-                text.append(main_text(own, near[0] + near[1], marked))
+                text.append("\n".join(differenced(own, near[0] + near[1])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
-    ranged = keyed.mapInArrow(parse, f"page_id long, url string, o {keyed.schema['o'].dataType.simpleString()}, part int, lines array<string>, marked boolean")
+    ranged = keyed.mapInArrow(parse, f"page_id long, url string, o {keyed.schema['o'].dataType.simpleString()}, part int, packed binary")
     ranged = ranged.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "o")
-    passed_on = stage(ranged.mapInArrow(within, "page_id long, url string, host string, text string, lines array<string>, before array<array<string>>, after array<array<string>>, part int, run int, edge boolean, marked boolean"), "pages")
+    passed_on = stage(ranged.mapInArrow(within, "page_id long, url string, host string, text string, lines array<string>, before array<array<string>>, after array<array<string>>, part int, run int, edge boolean"), "pages", "zstd")
     left = passed_on.where("text is null").drop("text")
     left = left.join(beyond(1).withColumnRenamed("near", "far"), ["part", "host"], "left").join(beyond(-1).withColumnRenamed("near", "further"), ["part", "host"], "left")
-    rest = left.select("page_id", "url", "lines", "marked", "before", "after", "far", "further").mapInArrow(across, "page_id long, url string, text string")
+    rest = left.select("page_id", "url", "lines", "before", "after", "far", "further").mapInArrow(across, "page_id long, url string, text string")
     return passed_on.where("text is not null").select("page_id", "url", "text").unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
 
 
-def main_text(own: list[str], neighbours: list[list[str]], marked: bool) -> str:
-    """marked: the lines stand in an article or main element."""
-    return "\n".join(own if marked else differenced(own, neighbours))
-
-
-_WITHIN = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("lines", pa.list_(pa.string())), ("before", pa.list_(pa.list_(pa.string()))), ("after", pa.list_(pa.list_(pa.string()))), ("part", pa.int32()), ("run", pa.int32()), ("edge", pa.bool_()), ("marked", pa.bool_())])
+_WITHIN = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("lines", pa.list_(pa.string())), ("before", pa.list_(pa.list_(pa.string()))), ("after", pa.list_(pa.list_(pa.string()))), ("part", pa.int32()), ("run", pa.int32()), ("edge", pa.bool_())])
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,11 @@ def test_pages_of_a_long_template(spark):
         assert {r.page_id: r.text for r in htmltext.extract(df, per=per).collect()} == {k: "\n".join(x) for k, x in own.items()}
     assert htmltext.differenced([*menu, "one"], [[*menu, "two"]]) == ["one"]
     assert htmltext.differenced([*menu, "one"], [[*menu, "one", "more"]]) == [*menu, "one"]
+
+
+def test_pages_with_articles(spark):
+    """Lines that the articles of neighbours share are template too."""
+    page = lambda k: f"<body><div>Site name</div><article><h1>Story {k}</h1><p>Tell your friends about it</p><p>{body(k)}</p></article></body>"
+    rows = [(k, f"http://h.org/{k:03}", page(k)) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in htmltext.extract(df).collect()} == {k: f"Story {k}\n{body(k)}" for k in range(20)}
