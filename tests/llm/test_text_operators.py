@@ -256,3 +256,27 @@ def test_mixing(spark, odd, none):
     assert 0.7 < share < 0.9
     assert mixing.mix(odd).count() == odd.count()
     assert mixing.mix(none).count() == 0
+
+
+def test_mixing_rare_groups(spark):
+    """Small sources and rare languages are margin groups of their own, on the driver and as tables alike."""
+    rows = [(k, "word " * 100_000, "en", "large") for k in range(30)] + [(100 + k, "other words", "en", f"small{k}") for k in range(40)] + [(200, "rare words here", "xx", "large")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in mixing.mix(docs, fraction=0.3).collect()}
+    tokens = np.array([sum(r.mix_tokens for r in got.values() if r.source == s) for s in sorted({x[3] for x in rows})], float)
+    want = mixing.tempered(tokens / tokens.sum(), 0.7)
+    have = np.array([sum(r.mix_tokens * r.mix_weight for r in got.values() if r.source == s) for s in sorted({x[3] for x in rows})]) / tokens.sum()
+    assert np.allclose(have, want, rtol=1e-3)
+    assert all(got[100 + k].mix_weight > 5 for k in range(40))
+    for r in mixing.mix(docs, fraction=0.3, here=0).collect():
+        assert np.isclose(r.mix_weight, got[r.doc_id].mix_weight, rtol=1e-4) and np.isclose(r.mix_probability, got[r.doc_id].mix_probability, rtol=1e-4)
+
+
+def test_mixing_to_given_targets(spark):
+    rows = [(k, f"one two three {k % 7}", "en" if k % 3 else "de", "a" if k % 4 else None) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sources = spark.createDataFrame([("a", 1.0), (None, 1.0), ("none of it", 5.0)], "source string, share double")
+    langs = spark.createDataFrame([("de", 0.6), ("en", 0.4)], "lang string, share double")
+    got = mixing.mix(docs, fraction=0.4, source_target=sources, lang_target=langs).collect()
+    share = lambda test: sum(r.mix_tokens * r.mix_probability for r in got if test(r)) / sum(r.mix_tokens * r.mix_probability for r in got)
+    assert len(got) == 240 and abs(share(lambda r: r.source is None) - 0.5) < 0.01 and abs(share(lambda r: r.lang == "de") - 0.6) < 0.01
