@@ -9,15 +9,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where the session names none, as in tests."""
+    """``spark.checkpoint.dir``, the folder that all executors share.
+
+    A local session, as in tests, may go without and gets a folder of its own; on a
+    cluster a missing setting is an error, since executors can't see each other's folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalens-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path, compression=codec)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes staged tables that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_staged_at", None)):
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+            df._staged_at = None
