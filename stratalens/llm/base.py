@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -12,43 +10,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import stratalens
+from stratalens.plans.staging import drop as drop
+from stratalens.plans.staging import stage as stage
 
 # Functions sent to executors travel by value, so that workers need no copy of the repository.
 cloudpickle.register_pickle_by_value(stratalens)
 
-#: Records per Arrow batch: whole texts may be long, so batches stay small.
+#: Bounds of an Arrow batch, by rows and by bytes: whole texts may be long.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def tune(spark: SparkSession) -> None:
-    """Keeps Arrow batches small enough for long texts."""
+    """Keeps Arrow batches small enough for long texts: a batch closes at either bound, so only one long text overruns it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of its own only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        if not held:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratalens-"))
-            held = spark.sparkContext.getCheckpointDir()
-        found = held
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, n: int):
     """crc32 of a column's text modulo ``n``; 0 for null."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(0))
