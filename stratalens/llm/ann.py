@@ -112,14 +112,14 @@ class Shards:
         """sizes[j, value]; neighbouring buckets of a table share a shard of about ``rows``."""
         number, parts, table, at = np.zeros_like(sizes), np.ones_like(sizes), [], -1
         for j, own in enumerate(sizes):
-            held = rows
+            held = rows + 1  # a table begins with a shard of its own
             for value, size in enumerate(own):
                 if size > rows:
                     parts[j, value] = -(-size // rows)
                     number[j, value] = at + 1
                     at += int(parts[j, value])
                     table += [j] * int(parts[j, value])
-                    held = rows
+                    held = rows + 1
                     continue
                 if held + size > rows:
                     at, held = at + 1, 0

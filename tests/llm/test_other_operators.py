@@ -31,11 +31,43 @@ def test_nearest_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [-1.0, 1.0]), (20, [-1.0, 1.0])]
     df = spark.createDataFrame([(*r, 9.0) for r in rows], "vec_id long, embedding array<float>, score double")
     got = ann.nearest(df, df.vec_id % 20 == 0, k=3).collect()
-    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [(1, 1, 1.0), (2, 2, 1.0), (3, 20, -1.0)]
-    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 20] == [0, 1, 2]
+    assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [(1, 1, 1.0), (2, 2, 1.0), (3, 7, 1.0)]
+    assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 20] == [7, 0, 1]
     assert ann.nearest(df.limit(0), df.vec_id % 20 == 0).count() == 0
 
 
+def test_probing_finds_every_code_within_the_radius_once(spark):
+    rng = np.random.default_rng(1)
+    code = rng.integers(0, 256, (600, 8)).astype(np.uint8)
+    code[200:400] = code[0] ^ (rng.random((200, 8)) < 0.2)  # a dense group, in buckets of several parts
+    sizes = np.stack([np.bincount(code[:, j], minlength=256) for j in range(8)])
+    for radius, rows in ((0, 50), (7, 50), (21, 1000), (64, 7)):
+        shards = ann.Shards.of(sizes, rows)
+        index = spark.createDataFrame([(k, bytearray(c.tobytes())) for k, c in enumerate(code)], "cid long, code binary")
+        asked = spark.createDataFrame([(k, bytearray(code[k].tobytes())) for k in range(0, 600, 7)], "query_id long, code binary")
+        got = sorted(map(tuple, ann.candidates(index, asked, shards, radius, 8).collect()))
+        assert got == [(q, int(r)) for q in range(0, 600, 7) for r in np.flatnonzero(ann.hamming(code[q : q + 1], code)[0] <= radius)]
+
+
+def test_nearest_with_copies_and_ties(spark):
+    rng = np.random.default_rng(2)
+    v = rng.integers(-2, 3, (300, 6)).astype(np.float32)
+    v[100:200] = v[100]  # a third of the rows are copies
+    v[~v.any(1)] = 1
+    df = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, df.vec_id % 20 == 0, k=5, cover=1.0, shard_rows=16, block_rows=32, sample=1000).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    hits = 0
+    for q in range(0, 300, 20):
+        score = v.astype(float) @ v[q].astype(float)
+        score[q] = -np.inf
+        want = [(int(k), float(score[k])) for k in np.lexsort((np.arange(300), -score))[:5]]
+        hits += sum(a == b for a, b in zip(want, (got[q][r] for r in range(1, 6)), strict=True))
+    assert hits >= 0.9 * 75
+    assert {r: i for r, (i, _) in got[100].items()} == {k: 100 + k for k in range(1, 6)} or got[100][1][1] > float(v[100] @ v[100])
+
+
 def test_lines():
     page = "<html><head><title>t</title></head><body><nav>menu</nav><p>A &amp; b\n  c</p><div class='ad banner'>buy</div><ul><li>one<li>two</ul><script>x<1</script>tail</body></html>"
     assert [x for x, _ in htmltext.lines(page)] == ["A & b c", "one", "two", "tail"]

@@ -152,6 +152,29 @@ def test_packing_odd(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_very_long_runs(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    gaps = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000]
+    gaps += ["x" + " " * 5000 + "y", "\n" * 5000 + "y", "x" + "\t\u2003 " * 2000, " " * 4095 + "\x1c\x1c y" + " \n" * 3000 + "'s", "\x85" * 5000 + "9"]
+    encoding = packing.encoder()
+    for text in gaps:
+        assert packing.ids_of(text, encoding) == tokenizer.encode(text, add_special_tokens=False).ids
+    rows = packing.pack(spark.createDataFrame(list(enumerate(gaps)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == set(range(len(gaps)))
+
+
+def test_cuts():
+    for length in range(1, 3000):
+        found = list(packing.cuts(length, 1024, 64))
+        assert sum(found) == length and max(found) <= 1024
+        rest = found[-1] if found[-1] < 1024 else 0
+        assert not rest or 1024 - 1024 // rest * rest <= 64
+    assert list(packing.cuts(1000, 1024, 64)) == [1000] and list(packing.cuts(500, 1024, 64)) == [500] and list(packing.cuts(340, 1024, 64)) == [340]
+
+
 def test_imatch(spark):
     docs = sorted(documents(spark))
     got = {r.doc_id: r for r in imatch.op3_imatch(spark, SF).collect()}
