@@ -3,15 +3,15 @@
 A document is its byte-pair ids and a closing id 0.  Lengths fall into
 reciprocal-capacity classes: class k holds pieces of (capacity/(k+1), capacity/k]
 tokens and each of its bins takes exactly k of them, so a bin needs no view of the
-others and every worker fills its own bins.  Pieces may be cut, so a document is cut
-into whole sequences, then into the binary digits of what is left down to
-``granule`` (classes of exact fractions, no padding), then one rest below ``granule``
-(classes from capacity/granule on: under 1/17 padding for 1024 and 64).
+others and every worker fills its own bins.  A document is cut into whole sequences,
+and what is left stays whole if k of its length fill a bin of its class but for
+``slack`` of the capacity.  Otherwise the largest reciprocal of the capacity in it,
+capacity // (k+1), is cut off, and the same holds for the rest.
 
-What a worker has left open at its end is closed without padding: exact fractions
-regroup into powers of two, and rests are joined end to end and cut at 1024 and at
-the powers of two of the last stretch.  A worker keeps only the open bins, at most
-``capacity`` pieces, whatever the size of its input.
+What a worker has left open at its end is closed without padding: its pieces are
+joined end to end and cut at the capacity and at the powers of two of the last stretch.
+A worker keeps only the open bins, less than k pieces in class k, whatever the size of
+its input.
 
 Nulls: a null text counts as empty (one piece, id 0); a null id is kept as null.
 Repeated rows are packed as often as they occur.  Other columns are not read.
@@ -20,6 +20,7 @@ Repeated rows are packed as often as they occur.  Other columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 
 import numpy as np
@@ -49,30 +50,50 @@ def encoder(path: str | None = None, pattern: str | None = None):
     return tiktoken.Encoding("ranks", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def cuts(length: int, capacity: int, granule: int):
-    """Lengths of the pieces of a document of ``length`` tokens, in order."""
-    yield from [capacity] * (length // capacity)
-    rest, size = length % capacity, capacity // 2
-    while size >= granule:
-        if rest & size:
-            yield size
-        size //= 2
-    if rest % granule:
-        yield rest % granule
+#: White space as the pre-tokeniser sees it, so long that its look-ahead would run out of stack.
+_LONG_GAP = re.compile(r"[^\S\x1C-\x1F]{4096,}")
+
+
+def ids_of(text: str, encoding) -> list[int]:
+    """The ids of a text.
+
+    A long run of white space is one piece of the pre-tokeniser but for its last character
+    before a word; such pieces are encoded by themselves, which gives the same ids.
+    """
+    if len(text) < 4096:
+        return encoding.encode_ordinary(text)
+    ids, at = [], 0
+    for gap in _LONG_GAP.finditer(text):
+        end = gap.end() - (gap.end() < len(text))
+        ids += encoding.encode_ordinary(text[at : gap.start()])
+        ids += encoding._encode_single_piece(text[gap.start() : end])
+        at = end
+    ids += encoding.encode_ordinary(text[at:])
+    return ids
+
+
+def cuts(length: int, capacity: int, slack: int):
+    """Lengths of the pieces of a document of ``length`` tokens, in order; slack in tokens."""
+    while length:
+        k = max(1, capacity // length)
+        if length >= capacity or capacity - k * length > slack:
+            piece = capacity if length >= capacity else capacity // (k + 1)
+            yield piece
+            length -= piece
+        else:
+            yield length
+            return
 
 
 class Bins:
     """The open bins of one worker; ``place`` returns finished sequences as lists of pieces."""
 
-    def __init__(self, capacity: int, granule: int):
-        self.capacity, self.granule, self.open = capacity, granule, {}
+    def __init__(self, capacity: int):
+        self.capacity, self.open = capacity, {}
 
     def place(self, piece: tuple) -> list | None:
         """piece: (doc, start, length, bytes, doc_tokens)."""
-        length = piece[2]
-        if length == self.capacity:
-            return [piece]
-        k = self.capacity // length
+        k = self.capacity // piece[2]
         held = self.open.setdefault(k, [])
         held.append(piece)
         if len(held) < k:
@@ -82,15 +103,7 @@ class Bins:
 
     def close(self):
         """The sequences left: each full, or a power of two long."""
-        rests = []
-        for k, held in sorted(self.open.items()):
-            if held[0][2] >= self.granule:  # an exact fraction of the capacity
-                while held:
-                    n = 1 << (len(held).bit_length() - 1)
-                    yield held[:n]
-                    held = held[n:]
-            else:
-                rests += held
+        rests = [piece for _, held in sorted(self.open.items()) for piece in held]
         self.open = {}
         total, at = sum(p[2] for p in rests), 0
         room, row = 0, []
@@ -107,17 +120,17 @@ class Bins:
                     row = []
 
 
-def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = 1024, granule: int = 64, path: str | None = None) -> DataFrame:
-    """One row per piece; capacity and granule are powers of two."""
-    if capacity & (capacity - 1) or granule & (granule - 1) or not 1 <= granule <= capacity:
-        raise ValueError("capacity and granule must be powers of two, granule at most capacity")
+def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = 1024, slack: float = 1 / 16, path: str | None = None) -> DataFrame:
+    """One row per piece; capacity is a power of two."""
+    if capacity < 1 or capacity & (capacity - 1):
+        raise ValueError("capacity must be a power of two")
 
     def work(batches):
         from pyspark import TaskContext
 
-        encode = worker_cache(("encoder", path), lambda: encoder(path)).encode_ordinary
+        encoding = worker_cache(("encoder", path), lambda: encoder(path))
         base, n_sequences = TaskContext.get().partitionId() << 40, 0
-        bins, rows = Bins(capacity, granule), []
+        bins, rows = Bins(capacity), []
         names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
         def put(sequence):
@@ -136,10 +149,10 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) if text else []
+                ids = ids_of(text, encoding) if text else []
                 ids.append(0)
                 raw, start, whole = np.array(ids, "<u4").tobytes(), 0, len(ids)
-                for length in cuts(whole, capacity, granule):
+                for length in cuts(whole, capacity, int(slack * capacity)):
                     if done := bins.place((doc, start, length, raw[4 * start : 4 * (start + length)], whole)):
                         put(done)
                     start += length
