@@ -1,11 +1,14 @@
 """Operators on documents: brute force, exact round trips, held-out accuracy, odd rows and empty tables."""
 
 import hashlib
+import math
 import re
+import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from stratalens.llm import imatch, langid, mixing, neardup, packing, quality, secrets, toxicity
@@ -175,20 +178,77 @@ def test_cuts():
     assert list(packing.cuts(1000, 1024, 64)) == [1000] and list(packing.cuts(500, 1024, 64)) == [500] and list(packing.cuts(340, 1024, 64)) == [340]
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of strings and longs; a list folds its elements."""
+    seed = 42
+    for v in values:
+        for x in v if isinstance(v, list) else [v]:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else struct.pack("<q", x), seed & (2**64 - 1))
+            seed -= 2**64 * (seed >= 2**63)
+    return seed
+
+
+def fingerprint(text, lexicon):
+    """(text of the fingerprint, main, scale, parts) worked out plainly."""
+    terms = list(dict.fromkeys(t for t in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.lower()) if t))
+    kept = sorted({spark_hash(t) for t in terms} & lexicon)
+    hexed = lambda x: f"{x & (2**64 - 1):x}"
+    main = hexed(spark_hash(kept)) if kept else "r" + hexed(spark_hash(sorted(terms)) if terms else spark_hash(text, "text"))
+    scale = max(5, math.ceil(math.log2(2 * max(1, len(kept)))))
+    parts = []
+    for s in (scale, scale + 1, scale + 2):
+        own = defaultdict(list)
+        for h in kept:
+            own[((h & (2**64 - 1)) >> 34) % 2**s].append(h)
+        found = []
+        for k in sorted(k for k in own if k < 32):
+            acc = spark_hash(own[k][0])
+            for h in own[k][1:]:
+                acc = spark_hash(acc, h)
+            found.append((k << 32) + (acc & 0xFFFFFFFF))
+        parts.append(found)
+    return f"{main}:{scale}:" + "/".join(".".join(map(hexed, p)) for p in parts), main, scale, parts
+
+
+def alike(a, b):
+    if a[1] == b[1]:
+        return 1.0
+    scale = max(a[2], b[2])
+    if scale - min(a[2], b[2]) >= 3:
+        return 0.0
+    x, y = set(a[3][scale - a[2]]), set(b[3][scale - b[2]])
+    held = {v >> 32 for v in x | y}
+    return len(x & y) / len(held) if held else 0.0
+
+
 def test_imatch(spark):
     docs = sorted(documents(spark))
     got = {r.doc_id: r for r in imatch.op3_imatch(spark, SF).collect()}
-    prints = defaultdict(set)
+    counts = Counter(h for _, text in docs for h in {spark_hash(t) for t in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text.lower()) if t})
+    lexicon = {h for h, n in counts.items() if max(2, 0.002 * len(docs)) <= n <= max(2, 0.1 * len(docs))}
+    own = [fingerprint(text, lexicon) for _, text in docs]
     for k, (i, text) in enumerate(docs):
         after = docs[(k + 1) % len(docs)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
+        changed = fingerprint(edited, lexicon)
         assert got[i].n_chars == len(text)
         assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
-        prints[text].add(got[i].fingerprint)
-    assert all(len(p) == 1 for p in prints.values())
-    assert np.mean([r.near_edited for r in got.values()]) > 5 * np.mean([r.near_next for r in got.values()])
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own[k][0], changed[0])
+        assert abs(got[i].near_edited - alike(own[k], changed)) < 1e-12 and abs(got[i].near_next - alike(own[k], own[(k + 1) % len(docs)])) < 1e-12
+    assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
+
+
+def test_imatch_ranges(spark, monkeypatch):
+    """Many ranges, repeated and null ids: every row meets its successor."""
+    monkeypatch.setattr(imatch, "isqrt", lambda n: 7)
+    rows = [(k // 3 if k % 5 else None, f"text {k % 50}") for k in range(400)] + [(7, "many times")] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r for r in imatch.with_next(df, len(rows), 10).collect() if not r.copy]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1])))
+    want = sorted((i is None, i or 0, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    assert len({r.part for r in got}) > 20
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text, r.next) for r in got) == want
 
 
 def test_imatch_odd(spark, odd, none):
