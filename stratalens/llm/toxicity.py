@@ -1,13 +1,14 @@
 """Operator 7: toxicity by a counterfactual-regularised classifier.
 
-Features of a text: which words and word beginnings (3 to 7 bytes) it holds, holds often
-and holds densely, hashed, so inflected forms of a stem count together and a single
-chance occurrence in a long text need not count like a text full of them.  The most telling of them over the labelled
-sample (by a two-proportion z score) make a logistic model.  Its penalty: each labelled
-text that mentions an identity term, and each neutral template sentence, is also read
-with the term swapped for another of the same kind; squared differences of the two
-scores are added to the loss, and the neutral templates are learned as not toxic.  So
-a group's name alone cannot carry a score.
+Features of a text: which words and word beginnings (3 to 7 bytes) it holds, and maybe
+holds often and densely, hashed, so inflected forms of a stem count together and a single
+chance occurrence in a long text need not count like a text full of them.  Which of these
+forms to use is chosen by cross-validation over the learned rows alone.  The most telling
+features of the labelled sample (by a two-proportion z score) make a logistic model.
+Its penalty: each labelled text that mentions an identity term, and each neutral template
+sentence, is also read with the term swapped for another of the same kind; squared
+differences of the two scores are added to the loss, and the neutral templates are
+learned as not toxic.  So a group's name alone cannot carry a score.
 
 Learned from at most about ``most`` labelled rows outside the held-out third, chosen by
 a hash of the id; equal ids with several labels count as toxic if one label is.  Only
@@ -16,7 +17,8 @@ text enters a score.
 Nulls: null and empty texts get the score of a text without telling features.  A null
 id is scored like any other; null labels are not learned from.  Repeated rows are scored
 alike.  Without labels of both kinds every score is the share of toxic labels (0 without
-any).  Whole texts are read, in stretches.
+any).  Whole texts are read, in stretches.  Columns named as the added ones are replaced
+by them.
 """
 
 from __future__ import annotations
@@ -88,54 +90,57 @@ def marks(text: str | None, wanted: np.ndarray | None = None) -> tuple[np.ndarra
     return cell, np.bincount(back, np.concatenate([np.zeros(0), *counts])).astype(np.int64), n_words
 
 
-#: (shift, least occurrences, least share of words): a cell that occurs so often is also the cell after the shift.
-FORMS = ((0, 1, 0.0), (40_503, 2, 0.0), (81_006, 4, 0.0), (86_243, 2, 1 / 100), (172_486, 2, 1 / 30))
+#: (least occurrences, least share of words): form f of a cell is held by texts with so many of it; its number is f * CELLS + cell.
+FORMS = ((1, 0.0), (2, 0.0), (4, 0.0), (2, 1 / 100), (2, 1 / 30))
+#: What cross-validation may choose from: so many of the forms.
+CHOICES = (1, 2, 3, 5)
 
 
 def cells(text: str | None, wanted: np.ndarray | None = None) -> np.ndarray:
-    """Distinct feature cells of a whole text: what it holds at all, often, and densely."""
+    """Numbers of the features of a whole text, sorted."""
     cell, count, n_words = marks(text, wanted)
-    return np.unique(np.concatenate([(cell[count >= max(least, share * n_words)] + shift) % CELLS for shift, least, share in FORMS]))
+    return np.concatenate([cell[count >= max(least, share * n_words)] + f * CELLS for f, (least, share) in enumerate(FORMS)])
 
 
 @dataclass
 class Model:
-    chosen: np.ndarray  # CELLS: column of the weights, or -1
+    chosen: np.ndarray  # sorted numbers of features
     weights: np.ndarray
     intercept: float
 
     def __post_init__(self):
         self.wanted = np.zeros(CELLS, bool)
-        for shift, _, _ in FORMS:
-            self.wanted[(np.flatnonzero(self.chosen >= 0) - shift) % CELLS] = True
+        self.wanted[self.chosen % CELLS] = True
+
+    def logit(self, own: np.ndarray) -> float:
+        return float(self.weights[np.isin(self.chosen, own, assume_unique=True)].sum() + self.intercept)
 
     def score(self, text: str | None) -> float:
-        at = self.chosen[cells(text, self.wanted)]
-        at = at[at >= 0]
-        return float(textnum.sigmoid(np.float64(self.weights[at].sum() + self.intercept)))
+        return float(textnum.sigmoid(np.float64(self.logit(cells(text, self.wanted)))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], columns: int = 1024, pair_weight: float = 4.0) -> Model:
-    """rows: feature cells of labelled texts; pairs: cells of a text and of its counterfactual."""
+def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], columns: int = 1024, pair_weight: float = 4.0, forms: int = len(FORMS), steps: int = 300) -> Model:
+    """rows: features of labelled texts; pairs: those of a text and of its counterfactual; forms: how many are used."""
     share = float(y.mean()) if len(y) else 0.0
     if not 0 < share < 1:
-        return Model(np.full(CELLS, -1, np.int64), np.zeros(0, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    count = lambda some: np.bincount(np.concatenate([*some, np.zeros(0, np.int64)]), minlength=CELLS).astype(np.float64)
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+    width = forms * CELLS
+    count = lambda some: np.bincount(np.concatenate([*(r[r < width] for r in some), np.zeros(0, np.int64)]), minlength=width).astype(np.float64)
     bad, good = count([r for r, t in zip(rows, y, strict=True) if t]), count([r for r, t in zip(rows, y, strict=True) if not t])
     n_bad, n_good = y.sum(), len(y) - y.sum()
     p, q, both = bad / n_bad, good / n_good, (bad + good) / len(y)
     z = np.abs(p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n_bad + 1 / n_good))
     z[(bad + good < 4)] = 0
     best = np.argsort(-z, kind="stable")[:columns]
-    best = best[z[best] > 4]
-    chosen = np.full(CELLS, -1, np.int64)
-    chosen[best] = np.arange(len(best))
+    best = np.sort(best[z[best] > 4])
+    at = np.full(width, -1, np.int64)
+    at[best] = np.arange(len(best))
 
     def matrix(some) -> np.ndarray:
         out = np.zeros((len(some), len(best)), np.float32)
         for k, r in enumerate(some):
-            at = chosen[r]
-            out[k, at[at >= 0]] = 1
+            own = at[r[r < width]]
+            out[k, own[own >= 0]] = 1
         return out
 
     neutral = [cells(t.format(term)) for row in IDENTITY for term in row for t in TEMPLATES]
@@ -144,16 +149,29 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.
     target = np.concatenate([y, np.zeros(len(neutral))])
     weight = np.concatenate([np.ones(len(rows)), np.full(len(neutral), 0.05 * len(rows) / len(neutral))])
     apart = matrix([a for a, _ in [*pairs, *told]]) - matrix([b for _, b in [*pairs, *told]])
-    w = textnum.fit_logistic(x, target, weight, ridge=2e-4, steps=300, pairs=apart, pair_weight=pair_weight)
-    return Model(chosen, w[:-1, 0], float(w[-1, 0]))
-
-
-def toxicity(docs: DataFrame, labelled: DataFrame, most: int = 8000, threshold: float = 0.7) -> DataFrame:
-    """docs (doc_id, text, ..): adds score and predicted; labelled (doc_id, text, toxic) is learned from.
-
-    labelled is a bounded sample already.
-    """
-    tune(docs.sparkSession)
+    w = textnum.fit_logistic(x, target, weight, ridge=2e-4, steps=steps, pairs=apart, pair_weight=pair_weight)
+    return Model(best, w[:-1, 0], float(w[-1, 0]))
+
+
+def best_forms(rows: list[np.ndarray], y: np.ndarray, folds: int = 3, most: int = 3000, steps: int = 120) -> int:
+    """How many of the forms give the least logistic loss on rows left out, over folds of at most ``most`` learned rows."""
+    order = np.random.default_rng(4).permutation(len(rows))[:most]
+    if y[order].sum() < 2 * folds or (1 - y[order]).sum() < 2 * folds:
+        return len(FORMS)
+    losses = []
+    for forms in CHOICES:
+        loss = 0.0
+        for k in range(folds):
+            model = fit([rows[i] for j, i in enumerate(order) if j % folds != k], y[[i for j, i in enumerate(order) if j % folds != k]], [], forms=forms, steps=steps)
+            out = order[k::folds]
+            z = np.array([model.logit(rows[i]) for i in out])
+            loss += float(np.logaddexp(0, np.where(y[out] > 0, -z, z)).sum())
+        losses.append(loss)
+    return CHOICES[int(np.argmin(losses))]
+
+
+def learn(labelled: DataFrame, **how) -> Model:
+    """The model of labelled (text, toxic), a bounded sample."""
 
     def read_cells(batches):
         for batch in batches:
@@ -162,20 +180,27 @@ def toxicity(docs: DataFrame, labelled: DataFrame, most: int = 8000, threshold:
             other = [cells(s).astype(np.int32).tobytes() if t and (s := swapped(t)) else None for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(own, pa.binary()), pa.array(other, pa.binary())], ["toxic", "own", "other"])
 
-    got = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).limit(most).mapInArrow(read_cells, "toxic int, own binary, other binary").collect()
+    got = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(read_cells, "toxic int, own binary, other binary").distinct().collect()
     got.sort(key=lambda r: (r["toxic"], r["own"]))
     of = lambda raw: np.frombuffer(raw, np.int32).astype(np.int64)
-    rows = [of(r["own"]) for r in got]
-    model = fit(rows, np.array([r["toxic"] for r in got], float), [(own, of(r["other"])) for own, r in zip(rows, got, strict=True) if r["other"] is not None])
+    rows, y = [of(r["own"]) for r in got], np.array([r["toxic"] for r in got], float)
+    return fit(rows, y, [(own, of(r["other"])) for own, r in zip(rows, got, strict=True) if r["other"] is not None], forms=best_forms(rows, y), **how)
+
+
+def toxicity(docs: DataFrame, labelled: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """docs (doc_id, text, ..): adds score and predicted; labelled (doc_id, text, toxic), a bounded sample, is learned from."""
+    tune(docs.sparkSession)
+    docs = docs.drop("score", "predicted")
+    names = [n for n in docs.columns if n != "text"]
+    model = learn(labelled)
 
     def score(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             p = np.array([model.score(t) for t in texts], float)
-            kept = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    kept = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text")
+    kept = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n in names)
     return docs.mapInArrow(score, f"{kept}, score double, predicted int")
 
 
@@ -196,4 +221,4 @@ def op7_toxicity(spark: SparkSession, sf_dir: str, most: int = 8000) -> DataFram
     """Every text of ``documents``; learned from labels whose crc32 modulo 3 is not 1."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 3) == 1).alias("held_out"))
     labels = read(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1)
-    return toxicity(docs.select("doc_id", "held_out", "text"), labelled_sample(docs, labels, "toxic", most), most=2 * most)
+    return toxicity(docs.select("doc_id", "held_out", "text"), labelled_sample(docs, labels, "toxic", most))
