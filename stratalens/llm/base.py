@@ -6,7 +6,7 @@ import sys
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import stratalens
@@ -36,6 +36,12 @@ def crc_mod(column: str, n: int):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(0))
 
 
+def chosen(name: str, about: int, n: int) -> Column:
+    """Whether a row of (doc_id, text), of n rows, is in a sample of about so many: by a hash of both, so a repeated id is no bulk."""
+    drawn = F.pmod(F.xxhash64(F.lit(name), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+    return drawn < about / max(n, 1)
+
+
 def as_bytes(column: pa.ChunkedArray | pa.Array) -> list:
     """A string column as Python bytes; null stays None."""
     if pa.types.is_large_string(column.type):

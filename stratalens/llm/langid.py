@@ -8,12 +8,14 @@ codeword of least loss wins.  The score is the softmax share of the winner; a te
 ``ambiguous`` if the runner-up is closer than ``margin``.
 
 Fitted on a bounded sample: about ``per_lang`` rows of each language, chosen by a hash
-of the row, at most ``most`` rows in all.  Rows of the held-out quarter, rows without
+of the row, about ``most`` rows in all, of which every language gets an equal part; with
+more languages than ``most`` those without a row drawn can't be predicted.  Rows of the held-out quarter, rows without
 language and rows without text are never learned from.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0.  A null id is
 scored like any other.  Without learned languages every text is ``und``.  Repeated rows
-are scored alike; whole texts are read, in stretches.
+are scored alike; whole texts are read, in stretches.  Columns named as the added ones
+are replaced by them.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import textnum
-from stratalens.llm.base import crc_mod, read, tune
+from stratalens.llm.base import crc_mod, read, stage, tune
 
 BITS = 11
 _LETTER = re.compile(r"[^\W\d_]")
@@ -97,14 +99,17 @@ def fit(x: np.ndarray, langs: list) -> Model | None:
     return Model(names, code, weights, trust / trust.sum(), sharpness=float(code.shape[1]))
 
 
-def sample(docs: DataFrame, per_lang: int, most: int) -> DataFrame:
-    """(lang, text) of about per_lang rows a language: a hash threshold per language from its count, no shuffle of texts."""
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2000).collect()}
-    if not counts:
-        return docs.select("lang", "text").limit(0)
-    cut = F.create_map(*(F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_lang / n))))
-    chance = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    return docs.where(chance < cut[F.col("lang")]).select("lang", "text").limit(most)
+def sample(docs: DataFrame, per_lang: int, most: int, here: int = 100_000) -> DataFrame:
+    """(lang, text) of about per_lang rows a language, or most / languages if that is less: a hash threshold from its count.
+
+    The counts of up to ``here`` languages are a broadcast side, so texts are not shuffled.
+    """
+    counts = stage(docs.groupBy("lang").count(), "langs")
+    n = counts.count()
+    per = min(float(per_lang), most / max(n, 1))
+    cut = counts.select("lang", (F.lit(per) / F.col("count")).alias("cut"))
+    drawn = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
+    return docs.join(F.broadcast(cut) if n <= here else cut, "lang").where(drawn < F.col("cut")).select("lang", "text")
 
 
 def identify(docs: DataFrame, train: DataFrame, per_lang: int = 600, most: int = 6000, margin: float = 0.05) -> DataFrame:
@@ -117,11 +122,14 @@ def identify(docs: DataFrame, train: DataFrame, per_lang: int = 600, most: int =
             found = [(lang, features(text).astype(np.float16).tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text and _LETTER.search(text)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], ["lang", "x"])
 
-    chosen = sample(train.where(F.col("lang").isNotNull()), per_lang, most)
-    got = chosen.mapInArrow(vectors, "lang string, x binary").orderBy("lang", "x").collect()
+    picked = sample(train.where(F.col("lang").isNotNull()), per_lang, most)
+    got = sorted(picked.mapInArrow(vectors, "lang string, x binary").distinct().collect())
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, 1 << BITS), np.float32)
     model = fit(x, [r["lang"] for r in got])
 
+    docs = docs.drop("lang_pred", "score", "ambiguous")
+    names = [n for n in docs.columns if n != "text"]
+
     def score(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
@@ -130,11 +138,9 @@ def identify(docs: DataFrame, train: DataFrame, per_lang: int = 600, most: int =
             if model and found.any():
                 win, p, lead = model.decode(np.stack([features(t) for t, ok in zip(texts, found, strict=True) if ok]))
                 pred[found], share[found], near[found] = np.array(model.langs, object)[win], p, lead < margin
-            keep = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(pred, pa.string()), pa.array(share), pa.array(near)], [*names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(pred, pa.string()), pa.array(share), pa.array(near)], [*names, "lang_pred", "score", "ambiguous"])
 
-    kept = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text")
+    kept = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n in names)
     return docs.mapInArrow(score, f"{kept}, lang_pred string, score double, ambiguous boolean")
 
 

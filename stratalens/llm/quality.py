@@ -1,20 +1,23 @@
 """Operator 5: a quality classifier by co-training.
 
-Two views of a document: its text (bigrams of character classes and line and length
-figures) and its metadata (source, language, character count).  A logistic model per
-view is fitted on a bounded labelled sample.  For some rounds each model labels the
-unlabelled pool, and its most confident rows, where its calibrated confidence passes
-``sure``, are handed to the other view as pseudo-labels.  At the end the two calibrated
-logits are combined by a third logistic model on labelled rows that neither view was
-fitted on, and every document gets the combined score; ``predicted`` is 1 (keep) from
-``threshold`` on.
+Two views of a document.  Content: its words and byte trigrams, hashed, and how often
+words repeat.  Metadata: source, language and character count, and the layout figures
+that come with a page: lines, their lengths, and the shares of capitals, digits, blanks
+and signs; it reads no word.  A logistic model per view is fitted on a bounded labelled
+sample.  For some rounds each model labels the unlabelled pool, and of each label the
+rows it is surest of, a ``share`` of the pool split as the labels are, are handed to the
+other view as pseudo-labels.  Rank decides, not an absolute confidence, so a view that
+is less sharp hands over rows as well.  At the end both views are calibrated and their
+logits combined by a third logistic model, on labelled rows that neither view was
+fitted on; every document gets the combined score, and is kept from ``threshold`` on.
 
 Sample bounds: about ``most`` labelled rows and ``pool`` unlabelled ones, chosen by a
-hash of the id from the narrow columns, so texts are not shuffled.
+hash; only their features are gathered.
 
 Nulls: a null text counts as empty, null metadata as a value of its own; null labels are
 not learned from and a null id is scored like any other.  Without labels of both kinds
 all documents score 1 and are kept.  Repeated rows score alike; whole texts are read.
+Columns named as the added ones are replaced by them.
 """
 
 from __future__ import annotations
@@ -28,50 +31,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import textnum
-from stratalens.llm.base import read, tune
+from stratalens.llm.base import chosen, read, tune
 from stratalens.llm.toxicity import labelled_sample
 
-#: Character classes: letters by case, digits, blank, line end, other controls, every ASCII sign by itself, longer code points.
-CLASSES = np.zeros(256, np.uint8)
-_at = 6
-for _b in range(256):
-    if 97 <= _b <= 122:
-        CLASSES[_b] = 0
-    elif 65 <= _b <= 90:
-        CLASSES[_b] = 1
-    elif 48 <= _b <= 57:
-        CLASSES[_b] = 2
-    elif _b == 32:
-        CLASSES[_b] = 3
-    elif _b == 10:
-        CLASSES[_b] = 4
-    elif _b >= 128 or _b < 32 or _b == 127:
-        CLASSES[_b] = 5
-    else:
-        CLASSES[_b] = _at
-        _at += 1
-N_CLASSES = _at
-TEXT_WIDTH = N_CLASSES * N_CLASSES + N_CLASSES + 4
-META_WIDTH = 128 + 32 + 24
+WORD_BITS, GRAM_BITS = 11, 10
+TEXT_WIDTH = (1 << WORD_BITS) + (1 << GRAM_BITS) + 4
+META_WIDTH = 128 + 32 + 24 + 24
 
 
 def text_view(raw: bytes | None) -> np.ndarray:
     raw = raw or b""
-    pairs, single = np.zeros(N_CLASSES * N_CLASSES, np.int64), np.zeros(N_CLASSES, np.int64)
+    words = textnum.word_hashes(raw)
+    _, counts = np.unique(words, return_counts=True)
+    cells = np.bincount((words >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=1 << WORD_BITS)
+    n = max(1, len(words))
+    extra = np.array([len(counts) / n, counts.max(initial=0) / n, np.log1p(n) / 15, float(not raw)], np.float32)
+    return np.concatenate([textnum.unit_sqrt(cells), textnum.unit_sqrt(textnum.ngram_counts(raw, GRAM_BITS, (3,))), extra])
+
+
+#: Kinds of bytes: other signs, small letters and longer code points, capitals, digits, blanks, line ends.
+KIND = np.zeros(256, np.int64)
+KIND[97:123] = KIND[128:] = 1
+KIND[65:91] = 2
+KIND[48:58] = 3
+KIND[[32, 9]] = 4
+KIND[[10, 13]] = 5
+
+
+def layout(raw: bytes) -> np.ndarray:
+    """Shares of kinds of bytes, and of eight ranges of line lengths, and how many lines there are and differ."""
+    kinds = np.zeros(6, np.int64)
     for at in range(0, len(raw), textnum.STRETCH):
-        a = CLASSES[np.frombuffer(raw[at : at + textnum.STRETCH + 1], np.uint8)].astype(np.int32)
-        pairs += np.bincount(a[:-1] * N_CLASSES + a[1:], minlength=len(pairs))
-        single += np.bincount(a[: textnum.STRETCH], minlength=N_CLASSES)
-    lines = raw.split(b"\n")
-    extra = np.array([min(np.log1p(len(raw)) / 15, 1), len(set(lines)) / len(lines), min(len(lines) / 100, 1), float(not raw)], np.float32)
-    return np.concatenate([textnum.unit_sqrt(pairs), textnum.unit_sqrt(single), extra])
+        kinds += np.bincount(KIND[np.frombuffer(raw[at : at + textnum.STRETCH], np.uint8)], minlength=6)
+    rows = raw.split(b"\n")
+    lengths = np.log2(np.array([len(r) for r in rows]) + 1)
+    bands = np.bincount(np.minimum(lengths / 2, 7).astype(int), minlength=8) / len(rows)
+    figures = [np.log1p(len(rows)) / 10, len(set(rows)) / len(rows), lengths.mean() / 20, lengths.std() / 5]
+    return np.concatenate([textnum.unit_sqrt(kinds), bands, figures]).astype(np.float32)
 
 
-def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+def meta_view(raw: bytes | None, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
     out = np.zeros(META_WIDTH, np.float32)
     out[zlib.crc32(("s" + source).encode("utf-8", "replace")) % 127 + 1 if source is not None else 0] = 1
     out[128 + (zlib.crc32(("l" + lang).encode("utf-8", "replace")) % 31 + 1 if lang is not None else 0)] = 1
     out[160 + (1 + min(22, int(np.log2(max(n_chars, 0) + 1))) if n_chars is not None else 0)] = 1
+    out[:184] /= 3  # the layout is the larger part
+    out[184 : 184 + 18] = layout(raw or b"")
     return out
 
 
@@ -89,6 +94,7 @@ class Model:
     meta: np.ndarray
     calibration: tuple
     mixed: np.ndarray
+    handed: tuple = (0, 0)  # pseudo-labels given to each view
 
     def logits(self, t: np.ndarray, m: np.ndarray) -> np.ndarray:
         (a, b), (c, d) = self.calibration
@@ -99,19 +105,18 @@ class Model:
         return textnum.sigmoid(z @ self.mixed[:-1] + self.mixed[-1])[:, 0]
 
 
-def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = 3, sure: float = 0.97, each: int = 200) -> Model | None:
-    """Labelled rows (t, m, y) and a pool; a fifth of the labelled rows is kept for calibration."""
+def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = 4, share: float = 0.05) -> Model | None:
+    """Labelled rows (t, m, y) and a pool; a quarter of the labelled rows is kept for calibration and combination."""
     if len(y) < 10 or not 0 < y.mean() < 1:
         return None
     order = np.random.default_rng(3).permutation(len(y))
     held = np.zeros(len(y), bool)
     for label in (0, 1):
         own = order[y[order] == label]
-        held[own[: max(1, len(own) // 5)]] = True
+        held[own[: max(1, len(own) // 4)]] = True
     views, pools = (t, m), (pool_t, pool_m)
     added: list[dict] = [{}, {}]  # per view: row of the pool -> pseudo-label handed to it
     fitted: list = [None, None]
-    calibration: list = [None, None]
     for step in range(rounds + 1):
         for v in (0, 1):
             rows = np.array(sorted(added[v]), int)
@@ -119,59 +124,60 @@ def cotrain(t: np.ndarray, m: np.ndarray, y: np.ndarray, pool_t: np.ndarray, poo
             target = np.concatenate([y[~held], [added[v][r] for r in rows]])
             n_one = max(target.sum(), 1)
             weight = np.where(target == 1, 0.5 / n_one, 0.5 / max(len(target) - n_one, 1)) * np.concatenate([np.ones((~held).sum()), np.full(len(rows), 0.5)])
-            fitted[v] = textnum.fit_logistic(x, target, weight, ridge=1e-5 if v == 0 else 1e-3, steps=200)
-            calibration[v] = _calibrated(fitted[v], views[v][held], y[held])
+            fitted[v] = textnum.fit_logistic(x, target, weight, ridge=1e-5, steps=200)
         if step == rounds or not len(pool_t):
             break
         for v in (0, 1):
-            a, b = calibration[v]
-            p = textnum.sigmoid(a * (pools[v] @ fitted[v][:-1] + fitted[v][-1])[:, 0] + b)
-            free = np.array([r for r in range(len(p)) if r not in added[1 - v]], int)
-            for label, confidence in ((1, p), (0, 1 - p)):
-                best = free[np.argsort(-confidence[free], kind="stable")][:each]
-                added[1 - v].update({int(r): label for r in best if confidence[r] >= sure})
-    model = Model(fitted[0], fitted[1], tuple(calibration), np.zeros((3, 1), np.float32))
+            z = (pools[v] @ fitted[v][:-1] + fitted[v][-1])[:, 0]
+            free = np.array([r for r in range(len(z)) if r not in added[1 - v]], int)
+            for label, part in ((1, y.mean()), (0, 1 - y.mean())):
+                best = free[np.argsort(-z[free] if label else z[free], kind="stable")][: max(1, int(share * part * len(z)))]
+                added[1 - v].update({int(r): label for r in best if (z[r] > 0) == label})
+    calibration = tuple(_calibrated(fitted[v], views[v][held], y[held]) for v in (0, 1))
+    model = Model(fitted[0], fitted[1], calibration, np.zeros((3, 1), np.float32), tuple(len(a) for a in added))
     model.mixed = textnum.fit_logistic(np.clip(model.logits(t[held], m[held]), -12, 12).astype(np.float32) / 4, y[held], ridge=1e-3, steps=300)
     model.mixed[:-1] /= 4
     return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 4000, pool: int = 2000, threshold: float = 0.5) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars, ..): all its columns, and quality_score and quality_predicted."""
-    spark = docs.sparkSession
-    tune(spark)
+def both_views(texts: list, langs: list, sources: list, sizes: list) -> tuple[np.ndarray, np.ndarray]:
+    raws = [x.encode("utf-8", "replace") if x else None for x in texts]
+    t, m = [text_view(r) for r in raws], [meta_view(r, s, lang, n) for r, lang, s, n in zip(raws, langs, sources, sizes, strict=True)]
+    return np.array(t, np.float32).reshape(-1, TEXT_WIDTH), np.array(m, np.float32).reshape(-1, META_WIDTH)
+
+
+def learn(docs: DataFrame, labels: DataFrame, most: int = 4000, pool: int = 2000, **how) -> Model | None:
+    """The co-trained model of docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
     base = docs.select("doc_id", "text", "lang", "source", "n_chars")
     columns = [F.col("quality").cast("int").alias("quality"), "text", "lang", "source", "n_chars"]
-    known = labelled_sample(base, labels, "quality", most).select(*columns).limit(3 * most)
-    n = docs.count()
-    chance = F.pmod(F.xxhash64(F.lit("pool"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    spare = base.where(chance < pool / max(n, 1)).limit(2 * pool).withColumn("quality", F.lit(None).cast("int")).select(*columns)
-    rows = known.unionByName(spare)
+    known = labelled_sample(base, labels, "quality", most).select(*columns)
+    spare = base.where(chosen("pool", pool, docs.count())).withColumn("quality", F.lit(None).cast("int")).select(*columns)
 
     def views(batches):
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            t = [text_view(x.encode("utf-8", "replace") if x else None).astype(np.float16).tobytes() for x in columns[1]]
-            m = [meta_view(s, lang, n).astype(np.float16).tobytes() for lang, s, n in zip(columns[2], columns[3], columns[4], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["quality", "t", "m"])
+            t, m = both_views(*(batch.column(k).to_pylist() for k in range(1, 5)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary()) for x in (t, m))], ["quality", "t", "m"])
 
-    got = rows.mapInArrow(views, "quality int, t binary, m binary").collect()
+    got = known.unionByName(spare).mapInArrow(views, "quality int, t binary, m binary").distinct().collect()
     got.sort(key=lambda r: (r["quality"] is None, r["quality"] or 0, r["t"], r["m"]))
     stack = lambda some, k, w: np.stack([np.frombuffer(r[k], np.float16) for r in some]).astype(np.float32) if some else np.zeros((0, w), np.float32)
     has, has_not = [r for r in got if r["quality"] is not None], [r for r in got if r["quality"] is None]
-    model = cotrain(stack(has, "t", TEXT_WIDTH), stack(has, "m", META_WIDTH), np.array([r["quality"] for r in has], float), stack(has_not, "t", TEXT_WIDTH), stack(has_not, "m", META_WIDTH))
+    return cotrain(stack(has, "t", TEXT_WIDTH), stack(has, "m", META_WIDTH), np.array([r["quality"] for r in has], float), stack(has_not, "t", TEXT_WIDTH), stack(has_not, "m", META_WIDTH), **how)
 
+
+def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 4000, pool: int = 2000, threshold: float = 0.5) -> DataFrame:
+    """docs (doc_id, text, lang, source, n_chars, ..): all its columns, and quality_score and quality_predicted."""
+    tune(docs.sparkSession)
+    docs = docs.drop("quality_score", "quality_predicted")
+    model = learn(docs, labels, most, pool)
     kept = ", ".join(f"`{name}` {kind}" for name, kind in docs.dtypes)
 
     def score(batches):
         for batch in batches:
             take = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()  # noqa: E731, B023
-            texts = take("text")
-            p = np.ones(len(texts))
-            if model and texts:
-                t = np.stack([text_view(x.encode("utf-8", "replace") if x else None) for x in texts])
-                m = np.stack([meta_view(s, lang, n) for s, lang, n in zip(take("source"), take("lang"), take("n_chars"), strict=True)])
-                p = model.score(t, m)
+            p = np.ones(batch.num_rows)
+            if model and batch.num_rows:
+                p = model.score(*both_views(*map(take, ("text", "lang", "source", "n_chars"))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p.astype(float)), pa.array((p >= threshold).astype(np.int32))], [*batch.schema.names, "quality_score", "quality_predicted"])
 
     return docs.mapInArrow(score, f"{kept}, quality_score double, quality_predicted int")
