@@ -1,7 +1,7 @@
 """Operator 4: main text of web pages by nearest-URL page differencing.
 
 A page is cut into text lines, one a block element, in page order.  Pages of a host are
-ordered by URL path and each is paired with the nearest two pages of other lines on each
+ordered by URL path and each is paired with the nearest three pages of other lines on each
 side there, so copies are passed over, however many.  The longest common subsequence of
 two pages' lines is the template, and those lines are deleted.
 
@@ -10,13 +10,16 @@ by what remains on both sides: edits of each other (``reworded``) are a copy.  O
 shares more than half of the page's text is a page of the template only if both keep
 lines; then a shared line is deleted if a second neighbour shares it, or there is none.  What can't be
 told: three or more pages in a row that differ in a few words only count as pages of a
-template, and among five or more edited copies in a row the inner ones delete nothing.
+template, and among seven or more edited copies in a row the inner ones delete nothing.
 
 Markup decides before the difference where it can: scripts, styles, forms, navigation,
 footers, asides and blocks whose class, id or role names them as adverts, notices,
 menus, comments and the like are never text, and with an ``article`` or ``main`` element
 the rest of the page is not text.  The lines that are left, in or out of an article, are
-compared with those that are left of the neighbours.
+compared with those that are left of the neighbours.  Markup also is evidence in the
+difference: a line of an article is deleted only if three quarters of the neighbours, two
+at least, share it, as the template of a host's articles does and a passage that some
+texts have in common doesn't; any other line if one neighbour does.
 
 Pages lie in ranges of (host, path), of about max(``per``, sqrt n) rows, so that a host
 with a third of all pages is no single group.  Runs of pages with equal lines count as
@@ -157,25 +160,33 @@ def common(a: list, b: list) -> list[int]:
     return found[::-1]
 
 
-def differenced(own: list[str], neighbours: list[list[str] | None]) -> list[str]:
-    """Lines of a page without those it shares with neighbours of the same template: see the module."""
+def differenced(own: list[str], neighbours: list[list[str] | None], marked: bool = False) -> list[str]:
+    """Lines of a page without those it shares with neighbours of the same template: see the module; marked: lines of an article."""
     pages = [x for x in neighbours if x and x != own]
     whole = sum(map(len, own))
     gone: set[int] = set()
     doubtful: Counter[int] = Counter()
     template: set[int] = set()
+    votes: Counter[int] = Counter()
+    asked = 0
     for other in pages:
         shared = common(own, other)
         both = Counter(own[i] for i in shared)
         mine, theirs = list((Counter(own) - both).elements()), list((Counter(other) - both).elements())
         copy = reworded(mine, theirs)
-        if 2 * sum(len(own[i]) for i in shared) <= whole and not copy:
+        long = 2 * sum(len(own[i]) for i in shared) > whole
+        if not copy and (not long or mine and theirs):
+            votes.update(shared)
+            asked += 1
+        if not long and not copy:
             gone.update(shared)
             continue
         doubtful.update(shared)
         if mine and theirs and not copy:
             template.update(shared)
     gone.update(i for i in template if doubtful[i] > 1 or i in gone or len(pages) == 1)
+    if marked:
+        gone = {i for i, n in votes.items() if n >= 2 and 4 * n >= 3 * asked}
     return [x for i, x in enumerate(own) if i not in gone]
 
 
@@ -192,7 +203,7 @@ def reworded(a: list[str], b: list[str]) -> bool:
 
 
 #: Pages of other lines that are looked at on each side.
-NEAR = 2
+NEAR = 3
 #: Remains of fewer words are too short to tell an edit from another text.
 EDITED = 8
 
@@ -209,14 +220,14 @@ def runs(rows: list[tuple]) -> list[list[int]]:
     return out
 
 
-def packed(own: list[str]) -> bytes:
-    """Lines, which hold no line ends, compressed for the exchange, behind their size."""
+def packed(own: list[str], marked: bool) -> bytes:
+    """Lines, which hold no line ends, compressed for the exchange, behind their size and whether an article holds them."""
     raw = "\n".join(own).encode("utf-8", "surrogatepass")
-    return len(raw).to_bytes(8, "big") + pa.compress(raw, codec="zstd", asbytes=True)
+    return bytes([marked]) + len(raw).to_bytes(8, "big") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpacked(held: bytes) -> list[str]:
-    n = int.from_bytes(held[:8], "big")
+    n, held = int.from_bytes(held[1:9], "big"), held[1:]
     return pa.decompress(held[8:], n, codec="zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n") if n else []
 
 
@@ -241,7 +252,7 @@ def extract(pages: DataFrame, per: int = 256) -> DataFrame:
             for key, page in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = lines(page)
                 inside = [x for x, own in found if own]
-                kept.append(packed(inside or [x for x, _ in found]))
+                kept.append(packed(inside or [x for x, _ in found], bool(inside)))
                 part.append(bisect_right(bounds, tuple(key.values())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(part, pa.int32()), pa.array(kept, pa.binary())], ["page_id", "url", "o", "part", "packed"])
 
@@ -252,10 +263,10 @@ def extract(pages: DataFrame, per: int = 256) -> DataFrame:
             found = runs([(r[2], r[3]) for r in held])
             where = {k: i for i, run in enumerate(found) for k in run}
             done: dict = {}
-            for k, (page, url, host_, own) in enumerate(held):
+            for k, (page, url, host_, own, marked) in enumerate(held):
                 i = where.get(k)
                 if i is None:
-                    yield page, url, host_, "", None, None, None, part, -1, False
+                    yield page, url, host_, "", None, None, None, part, -1, False, marked
                     continue
                 # A side is known if enough runs of the range, or a run of another host, lie on it.
                 sides, known = [], True
@@ -269,10 +280,10 @@ def extract(pages: DataFrame, per: int = 256) -> DataFrame:
                 edge = k == found[i][0] and (i < NEAR + 1 or i >= len(found) - NEAR - 1)
                 text = None
                 if known:
-                    if i not in done:
-                        done = {i: "\n".join(differenced(own, sides[0] + sides[1]))}
-                    text = done[i]
-                yield page, url, host_, text, own if edge or not known else None, None if known else sides[0], None if known else sides[1], part, i, edge
+                    if (i, marked) not in done:
+                        done = {(i, marked): "\n".join(differenced(own, sides[0] + sides[1], marked))}
+                    text = done[i, marked]
+                yield page, url, host_, text, own if edge or not known else None, None if known else sides[0], None if known else sides[1], part, i, edge, marked
 
         def batch_of(out):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _WITHIN.types, strict=True)], _WITHIN.names)
@@ -284,7 +295,7 @@ def extract(pages: DataFrame, per: int = 256) -> DataFrame:
                     yield batch_of(list(settled(at, held)))
                     held = []
                 at = part
-                held.append((page, url, key["host"], unpacked(own)))
+                held.append((page, url, key["host"], unpacked(own), own[0] == 1))
         if held:
             yield batch_of(list(settled(at, held)))
 
@@ -314,21 +325,21 @@ def extract(pages: DataFrame, per: int = 256) -> DataFrame:
     def across(batches):
         for batch in batches:
             text = []
-            for own, before, after, far, further in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
+            for own, before, after, far, further, marked in zip(*(batch.column(k).to_pylist() for k in range(2, 8)), strict=True):
                 near = [[*side, *[x for x in other or () if x != (side[-1] if side else own)]][:NEAR] for side, other in ((before, far), (after, further))]
-                text.append("\n".join(differenced(own, near[0] + near[1])))
+                text.append("\n".join(differenced(own, near[0] + near[1], marked)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
 
     ranged = keyed.mapInArrow(parse, f"page_id long, url string, o {keyed.schema['o'].dataType.simpleString()}, part int, packed binary")
     ranged = ranged.repartition(max(1, len(bounds) + 1), "part").sortWithinPartitions("part", "o")
-    passed_on = stage(ranged.mapInArrow(within, "page_id long, url string, host string, text string, lines array<string>, before array<array<string>>, after array<array<string>>, part int, run int, edge boolean"), "pages", "zstd")
+    passed_on = stage(ranged.mapInArrow(within, "page_id long, url string, host string, text string, lines array<string>, before array<array<string>>, after array<array<string>>, part int, run int, edge boolean, marked boolean"), "pages", "zstd")
     left = passed_on.where("text is null").drop("text")
     left = left.join(beyond(1).withColumnRenamed("near", "far"), ["part", "host"], "left").join(beyond(-1).withColumnRenamed("near", "further"), ["part", "host"], "left")
-    rest = left.select("page_id", "url", "lines", "before", "after", "far", "further").mapInArrow(across, "page_id long, url string, text string")
+    rest = left.select("page_id", "url", "lines", "before", "after", "far", "further", "marked").mapInArrow(across, "page_id long, url string, text string")
     return passed_on.where("text is not null").select("page_id", "url", "text").unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
 
 
-_WITHIN = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("lines", pa.list_(pa.string())), ("before", pa.list_(pa.list_(pa.string()))), ("after", pa.list_(pa.list_(pa.string()))), ("part", pa.int32()), ("run", pa.int32()), ("edge", pa.bool_())])
+_WITHIN = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()), ("lines", pa.list_(pa.string())), ("before", pa.list_(pa.list_(pa.string()))), ("after", pa.list_(pa.list_(pa.string()))), ("part", pa.int32()), ("run", pa.int32()), ("edge", pa.bool_()), ("marked", pa.bool_())])
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,3 +131,18 @@ def test_pages_with_articles(spark):
     rows = [(k, f"http://h.org/{k:03}", page(k)) for k in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in htmltext.extract(df).collect()} == {k: f"Story {k}\n{body(k)}" for k in range(20)}
+    # A passage that a few articles have in common is their own text.
+    quoted = [(k, f"http://q.org/{k:03}", page(k).replace("</article>", "<p>As the poet says</p></article>" if k % 3 == 0 else "</article>")) for k in range(20)]
+    df = spark.createDataFrame(quoted, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in htmltext.extract(df, per=7).collect()} == {k: f"Story {k}\n{body(k)}" + "\nAs the poet says" * (k % 3 == 0) for k in range(20)}
+
+
+def test_pages_odd(spark):
+    """Repeated rows, one path for all pages, a very long page, null and odd URLs: all pages come back, alike whatever the ranges."""
+    page = lambda k: f"<div>Site name</div><p>{body(k)}</p>"
+    rows = [(k, "http://h.org/same", page(k)) for k in range(12)] + [(3, "http://h.org/same", page(3))] * 2 + [(None, None, page("n"))] * 3
+    rows += [(40, "http://h.org/long", "".join(f"<p>{body(j, 3)}</p>" for j in range(30_000))), (41, "::", "<p>x"), (42, "", "plain text")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r.page_id or -1, r.text) for r in htmltext.extract(df, per=3).collect())
+    assert got == sorted((r.page_id or -1, r.text) for r in htmltext.extract(df).collect()) and len(got) == len(rows)
+    assert dict(got)[3] == body(3) and dict(got)[41] == "x" and dict(got)[42] == "plain text" and dict(got)[40].count("\n") == 29_999
