@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.plans.staging import stage
+from stratalens.plans.staging import drop, stage
 
 
 def fan(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -25,24 +25,27 @@ def components(links: DataFrame) -> DataFrame:
     Least labels of the neighbours, then one jump to the label's label, until nothing changes.
     """
     edges = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
+    held = labels = stage(edges.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
     while True:
         near = edges.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("near"))
         lower = labels.join(near, "v").select("v", F.col("c").alias("was"), F.least("c", "near").alias("c"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("far"))
         after = stage(lower.join(jump, "c").select("v", "was", F.least("c", "far").alias("c")), "labels")
-        labels = after.select("v", "c")
+        drop(held)
+        held, labels = after, after.select("v", "c")
         if after.where("c <> was").isEmpty():
+            drop(edges)
             return labels
 
 
 def _reached(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Least label that reaches each node along the edges: (node, label)."""
-    labels = stage(labels, "reach")
+    held = labels = stage(labels, "reach")
     while True:
         step = edges.join(labels, edges.source == labels.node).groupBy(edges.target.alias("node")).agg(F.min("label").alias("near"))
         after = stage(labels.join(step, "node", "left").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label")), "reach")
-        labels = after.select("node", "label")
+        drop(held)
+        held, labels = after, after.select("node", "label")
         if after.where("label < was").isEmpty():
             return labels
 
