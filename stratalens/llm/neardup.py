@@ -22,13 +22,16 @@ are all marked alike.  Other columns are not read, so their names cannot clash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm import textnum
-from stratalens.llm.base import as_bytes, read, stage, tune
+from stratalens.llm.base import as_bytes, drop, read, stage, tune
+from stratalens.operators.graph import components
 
 #: Random multipliers and shifts of the minimum hashes, fixed.
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (2, 1024), dtype=np.uint64) | np.uint64(1)
@@ -101,24 +104,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, c): the least vertex reachable, of the vertices of links (a, b).
-
-    Minimum labels over neighbours, then a jump to the label's own label, until nothing
-    changes; a written table after each round.
-    """
-    edges = stage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "v"), "labels")
-    while True:
-        near = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("c").alias("near"))
-        lower = labels.join(near, labels.v == near.a).select("v", F.col("c").alias("was"), F.least("c", "near").alias("c"))
-        jump = labels.select(F.col("v").alias("c"), F.col("c").alias("far"))
-        lower = stage(lower.join(jump, "c").select("v", "was", F.least("c", "far").alias("c")), "labels")
-        labels = lower.select("v", "c")
-        if lower.where("c <> was").isEmpty():
-            return labels
-
-
 def _relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
     """Labels after links between the vertices (a, b) of ``more``; a vertex without a label is its own."""
     of = lambda side: labels.select(F.col("v").alias(side), F.col("c").alias(f"c{side}"))
@@ -127,7 +112,9 @@ def _relabelled(labels: DataFrame, more: DataFrame) -> DataFrame:
     ends = joined.select(F.col("a").alias("v"), F.col("ca").alias("c")).union(joined.select("b", "cb"))
     every = labels.union(ends).distinct()
     low = components(joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("v").alias("c"), F.col("c").alias("low"))
-    return stage(every.join(low, "c", "left").select("v", F.coalesce("low", "c").alias("c")), "labels")
+    out = stage(every.join(low, "c", "left").select("v", F.coalesce("low", "c").alias("c")), "labels")
+    drop(joined, labels)
+    return out
 
 
 def _rare_pairs(rest: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -153,11 +140,15 @@ def _rare_pairs(rest: DataFrame, texts: DataFrame, words: int, percent: int) ->
     kept = placed.join(rest, "id").select("id", "n", "c", "h", (F.col("n") - F.col("held") + F.col("at")).alias("p"))
     kept = stage(kept.where(F.col("p") <= first), "prefixes")
     mixed = kept.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("h")
-    kept = stage(kept.join(mixed, "h", "left_semi"), "prefixes")
-    other = kept.select("h", F.col("id").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("p").alias("q"))
+    # Sizes that allow the likeness lie in neighbouring bands, so a common shingle's holders meet by bands, the smaller set in
+    # its own, the larger in those below too (two, against rounding).
+    band = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
+    kept = stage(kept.join(mixed, "h", "left_semi").withColumn("band", band.cast("int")), "prefixes")
+    other = kept.select("h", F.explode(F.sequence(F.col("band") - 2, F.col("band"))).alias("band"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("p").alias("q"))
+    smaller = F.struct("n", "id") < F.struct(F.col("m").alias("n"), F.col("y").alias("id"))
     # From the first shingle shared on, the sets must have enough places left for the likeness.
     room = (100 + percent) * (1 + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))) >= percent * (F.col("n") + F.col("m"))
-    return kept.join(other, "h").where("c < d").where(_alike("n", "m", percent) & room).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
+    return kept.join(other, ["h", "band"]).where(smaller & (F.col("c") != F.col("d"))).where(_alike("n", "m", percent) & room).select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = 3, side: int = 11, rounds: int = 2) -> DataFrame:
@@ -173,14 +164,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
 
     tables = F.array(*(F.xxhash64(F.lit(i * side + j), F.col(f"m{i}"), F.col(f"m{side + j}")) for i in range(side) for j in range(side)))
     keyed = classes.select("id", F.col("n_shingles").alias("n"), F.explode(tables).alias("bucket"))
-    shared = keyed.select("bucket", "id", "n", F.count("*").over(Window.partitionBy("bucket")).alias("held")).where("held > 1")
-    shared = stage(shared, "buckets")
+    # Counts are added up before their shuffle; a join that a large bucket skews is split at run time, a window would not be.
+    held = keyed.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
+    shared = stage(keyed.join(held, "bucket").select("bucket", "id", "n", "held"), "buckets")
     # What shares most places with others is likeliest the original of a group of copies: it leads first.
     degrees = shared.groupBy("id").agg(F.sum("held").alias("degree"))
     texts = docs.join(degrees.select("id"), docs.doc_id == F.col("id")).join(classes.select(F.col("id").alias("doc_id"), *key), "doc_id").select("id", "text", *key)
     # One row for each id, even if ids repeat: any row of the class has the same set.
     texts = stage(_of_class(texts, words).select("id", "text").dropDuplicates(["id"]), "texts")
-    left = stage(shared.join(degrees, "id").select("bucket", "id", "n", "degree"), "members")
+    members = left = stage(shared.join(degrees, "id").select("bucket", "id", "n", "degree"), "members")
+    drop(shared)
 
     labels = spark.createDataFrame([], "v long, c long")
     for turn in range(rounds):
@@ -195,10 +188,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         links = stage(_verified(stage(found.distinct(), "pairs"), texts, words, percent), "links")
         if not links.isEmpty():
             labels = _relabelled(labels, links)
+        drop(members, links)
+        members = open_
         left = open_.select("bucket", "id", "n", "degree")  # the leader has met all others
 
     rest = left.select("id", "n").distinct().join(labels, F.col("id") == labels.v, "left").select("id", "n", F.coalesce("c", "id").alias("c"))
     rest = stage(rest, "rest")
+    drop(members)
     if not rest.isEmpty():
         links = stage(_verified(stage(_rare_pairs(rest, texts, words, percent), "pairs"), texts, words, percent), "links")
         if not links.isEmpty():
