@@ -37,6 +37,10 @@ from stratalens.operators.graph import components
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (2, 1024), dtype=np.uint64) | np.uint64(1)
 
 
+#: Most common shingles that are broadcast, of 16 bytes each; beyond it they are shuffled as well.
+HOT_SHINGLES = 1_000_000
+
+
 def sketch_values(shingles: np.ndarray, rows: int, side: int) -> np.ndarray:
     """2*side sketches, each a hash of ``rows`` minimum hashes, of a non-empty set."""
     n = 2 * side * rows
@@ -133,9 +137,18 @@ def _rare_pairs(rest: DataFrame, texts: DataFrame, words: int, percent: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h)], ["id", "h"])
 
     tokens = stage(texts.join(rest, "id", "left_semi").select("id", "text").mapInArrow(work, "id long, h long"), "tokens")
-    common = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    common = stage(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    # A shingle of more than a thousandth of the documents is looked up by broadcast: there are at most a thousand times a
+    # mean document's shingles of them.  The rest meets by shuffle.
+    cut = max(1000, rest.count() // 1000)
+    hot = common.where(F.col("df") > cut)
+    if hot.count() <= HOT_SHINGLES:
+        hot = F.broadcast(hot)
+        counted = tokens.join(hot, "h").unionByName(tokens.join(hot.select("h"), "h", "left_anti").join(common.where(F.col("df") <= cut), "h"))
+    else:
+        counted = tokens.join(common, "h")
     own = Window.partitionBy("id")
-    placed = tokens.join(common, "h").select("id", "h", F.row_number().over(own.orderBy("df", "h")).alias("at"), F.count("*").over(own).alias("held"))
+    placed = counted.select("id", "h", F.row_number().over(own.orderBy("df", "h")).alias("at"), F.count("*").over(own).alias("held"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     kept = placed.join(rest, "id").select("id", "n", "c", "h", (F.col("n") - F.col("held") + F.col("at")).alias("p"))
     kept = stage(kept.where(F.col("p") <= first), "prefixes")
