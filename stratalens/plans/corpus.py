@@ -207,3 +207,80 @@ def values_sql() -> str:
     """The tree as a DuckDB VALUES list of (path, text)."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     return "(VALUES " + ", ".join(f"({quote(p)}, {quote(t)})" for p, t in sorted(TEXTS.items())) + ") AS f(path, text)"
+
+#: A second tree, for variable flow.
+FLOW = {
+    path: dedent(text).lstrip("\n")
+    for path, text in {
+        "lib/__init__.py": "from .base import LIMIT, clean\n",
+        "lib/base.py": """
+            import os.path
+            LIMIT = 10
+            limit = LIMIT
+            clean = str.strip
+
+            def unused(a, _b, *rest, key=None, **more):
+                return key
+            """,
+        "app.py": """
+            import json, sys
+            import lib.base.deep
+            from lib import clean, missing as gone
+            from lib.base import LIMIT
+            from elsewhere import thing
+
+            x = LIMIT
+            x = int(x)
+            y, (z, *w) = x, x
+            for x in x:
+                total = x + y
+            names = [k for k in names_of(y) if k]
+            late = k
+
+            class Job:
+                SIZE = 3
+
+                def __init__(self, size, url):
+                    self.size = size
+                    self.inner.deep = size
+                    deep = url.lower()
+                    requests.get(url, params=size)
+                    settings.get(size)
+                    return deep
+
+                async def run(self, rows):
+                    rows += clean(rows)
+                    with open(rows) as handle, other:
+                        data = handle.read()
+                        body: str = data.encode()
+                        print(json.dumps(body), file=handle)
+                    loop = body
+                    loop = again(loop)
+                    return loop.decode()
+            """,
+        "bad.py": "def (:\n",
+    }.items()
+}
+
+
+def flow_files(spark: SparkSession) -> DataFrame:
+    return literal(spark, FLOW)
+
+
+def sql_value(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, (list, tuple)):
+        return "[" + ", ".join(map(sql_value, v)) + "]"
+    return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
+def rows_sql(rows: list[tuple], columns: str) -> str:
+    """A DuckDB table of rows; columns: ``name type`` pairs, as in a schema of Spark."""
+    kinds = [c.split() for c in columns.split(", ")]
+    to = {"string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN", "array<int>": "INTEGER[]", "long": "BIGINT"}
+    cast = ", ".join(f"CAST({name} AS {to[kind]}) AS {name}" for name, kind in kinds)
+    names = ", ".join(name for name, _ in kinds)
+    return f"(SELECT {cast} FROM (VALUES " + ", ".join("(" + ", ".join(map(sql_value, r)) + ")" for r in rows) + f") AS t({names}))"

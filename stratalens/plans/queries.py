@@ -6,24 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.operators import audit, complexity, deps, duplicates, errors, graph, secrets, stale
-from stratalens.registry import ORACLES, QUERIES
-from stratalens.sources import corpus, files, pyfacts
+from stratalens.registry import query
+from stratalens.plans import corpus
+from stratalens.sources import files, pyfacts
 
 #: Fixed edges for the graph operators.
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("f", "f"), ("g", "a"), ("h", "h"), ("a", "b")]
 LAYERS = [("a", 3), ("b", 2), ("c", 2), ("d", 0), ("e", 1), ("f", 0), ("g", 1), ("h", 0)]
 
 
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.table(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text", "documents")
 
