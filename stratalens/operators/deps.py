@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.operators import matlab_deps
 from stratalens.sources.files import stem
 
 # Stems that are started from outside.
@@ -20,13 +21,14 @@ def _joined(folder: Column, rest: Column) -> Column:
 
 
 def _statements(nodes: DataFrame) -> DataFrame:
-    """(source, type, raw, asked) of absolute and dynamic imports; asked: dotted module."""
-    alias = nodes.where("kind = 'alias'").select("path", F.col("parent").alias("pre"), F.col("name").alias("alias"))
-    plain = nodes.where("kind = 'alias' and parent_kind = 'Import'").select(F.col("path").alias("source"), F.lit("import").alias("type"), F.col("name").alias("raw"))
+    """(source, at, type, raw) of absolute and dynamic imports: raw is the dotted module, at the node in its file."""
+    alias = nodes.where("kind = 'alias'").select("path", F.col("parent").alias("pre"), F.col("pre").alias("at"), F.col("name").alias("alias"))
+    shape = lambda df, at, kind, raw: df.select(F.col("path").alias("source"), F.col(at).alias("at"), F.lit(kind).alias("type"), raw.alias("raw"))
+    plain = shape(nodes.where("kind = 'alias' and parent_kind = 'Import'"), "pre", "import", F.col("name"))
     source = nodes.where("kind = 'ImportFrom' and n = 0 and value is not null").select("path", "pre", "value")
-    module = source.select(F.col("path").alias("source"), F.lit("from_import").alias("type"), F.col("value").alias("raw"))
-    member = source.join(alias, ["path", "pre"]).select(F.col("path").alias("source"), F.lit("from_import").alias("type"), F.concat_ws(".", "value", "alias").alias("raw"))
-    dynamic = nodes.where("kind = 'Call' and name in ('importlib.import_module', 'import_module') and value is not null").select(F.col("path").alias("source"), F.lit("dynamic_import").alias("type"), F.col("value").alias("raw"))
+    module = shape(source, "pre", "from_import", F.col("value"))
+    member = shape(source.join(alias, ["path", "pre"]), "at", "from_import", F.concat_ws(".", "value", "alias"))
+    dynamic = shape(nodes.where("kind = 'Call' and name in ('importlib.import_module', 'import_module') and value is not null"), "pre", "dynamic_import", F.col("value"))
     return plain.unionByName(module).unionByName(member).unionByName(dynamic)
 
 
@@ -39,8 +41,8 @@ def python_edges(files: DataFrame, nodes: DataFrame) -> DataFrame:
     known = files.where("ext = '.py'").select(F.col("path").alias("target"))
     asked = _statements(nodes).withColumn("base", F.replace(F.col("raw"), F.lit("."), F.lit("/")))
     options = F.array(F.struct(F.lit(0).alias("order"), F.concat("base", F.lit("/__init__.py")).alias("target")), F.struct(F.lit(1).alias("order"), F.concat("base", F.lit(".py")).alias("target")))
-    asked = asked.withColumn("row", F.monotonically_increasing_id()).select("row", "source", "type", "raw", F.explode(options).alias("o")).select("row", "source", "type", "raw", "o.*")
-    absolute = asked.join(known, "target").groupBy("row", "source", "type", "raw").agg(F.min(F.struct("order", "target")).alias("best")).select("source", F.col("best.target").alias("target"), "type", "raw")
+    asked = asked.select("at", "source", "type", "raw", F.explode(options).alias("o")).select("at", "source", "type", "raw", "o.*")
+    absolute = asked.join(known, "target").groupBy("at", "source", "type", "raw").agg(F.min(F.struct("order", "target")).alias("best")).select("source", F.col("best.target").alias("target"), "type", "raw")
 
     alias = nodes.where("kind = 'alias'").select("path", F.col("parent").alias("pre"), F.col("name").alias("alias"))
     climbed = F.array_join(F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - F.col("n"), F.lit(0))), "/")
@@ -86,7 +88,7 @@ def references(files: DataFrame, nodes: DataFrame) -> DataFrame:
     modules = tokens.where("contains(token, '.') and not endswith(token, '.py')").select("path", F.replace(F.col("token"), F.lit("/"), F.lit(".")).alias("key"))
     names = tokens.where("endswith(token, '.py')").select("path", F.explode(F.array(dots, stem(F.col("token")))).alias("key"))
     literals = modules.unionByName(names).join(index, "key").select(F.col("path").alias("source"), "target")
-    return imports.unionByName(literals).distinct()
+    return imports.unionByName(literals).unionByName(matlab_deps.matlab_references(files, index)).distinct()
 
 
 def is_entry_point(path: Column, include_tests: bool = False) -> Column:
@@ -96,12 +98,33 @@ def is_entry_point(path: Column, include_tests: bool = False) -> Column:
 
 
 def dead_files(files: DataFrame, nodes: DataFrame, include_tests: bool = False) -> DataFrame:
-    """(path) of the ``.py`` files that are no entry point and to which no other file refers."""
+    """(path) of the ``.py`` and ``.m`` files that are no entry point and to which no other file refers."""
     called = references(files, nodes).where("source <> target").select(F.col("target").alias("path"))
-    return files.where("ext = '.py'").select("path").where(~is_entry_point(F.col("path"), include_tests)).join(called, "path", "left_anti")
+    started = F.when(F.col("ext") == ".py", is_entry_point(F.col("path"), include_tests)).otherwise(matlab_deps.is_script(F.col("text")))
+    return files.where("ext in ('.py', '.m')").where(~started).select("path").join(called, "path", "left_anti")
 
 
 def reference_counts(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(path, references): in how many other files each ``.py`` file is referred to."""
+    """(path, references): in how many other files each ``.py`` and ``.m`` file is referred to."""
     counts = references(files, nodes).where("source <> target").groupBy(F.col("target").alias("path")).agg(F.count_distinct("source").alias("references"))
-    return files.where("ext = '.py'").select("path").join(counts, "path", "left").na.fill(0, ["references"])
+    return files.where("ext in ('.py', '.m')").select("path").join(counts, "path", "left").na.fill(0, ["references"])
+
+
+def dead_report(files: DataFrame, nodes: DataFrame, include_tests: bool = False) -> DataFrame:
+    """One row: how many files, entry points and dead ones, the dead paths as JSON, and whether a gate fails on them."""
+    kinds = files.where("ext in ('.py', '.m')")
+    started = F.when(F.col("ext") == ".py", is_entry_point(F.col("path"), include_tests)).otherwise(matlab_deps.is_script(F.col("text")))
+    whole = kinds.agg(F.count("*").alias("files"), F.count_if(started).alias("entry_points"))
+    dead = dead_files(files, nodes, include_tests).agg(F.count("*").alias("dead"), F.to_json(F.sort_array(F.collect_list("path"))).alias("paths"))
+    return whole.join(F.broadcast(dead), F.lit(True)).withColumn("failed", F.col("dead") > 0)  # one row each
+
+
+def project_edges(files: DataFrame, nodes: DataFrame, python: bool = True, matlab: bool = True) -> DataFrame:
+    """(source, target, type, raw, cross_language): the edges of both languages; those between them only where both are asked for."""
+    plain = [part.withColumn("cross_language", F.lit(False)) for part, asked in ((python_edges(files, nodes), python), (matlab_deps.matlab_edges(files), matlab)) if asked]
+    if python and matlab:
+        plain.append(matlab_deps.cross_language_edges(files).withColumn("cross_language", F.lit(True)))
+    out = plain[0].select("source", "target", "type", "raw", "cross_language")
+    for part in plain[1:]:
+        out = out.unionByName(part.select(out.columns))
+    return out

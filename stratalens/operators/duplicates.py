@@ -142,8 +142,23 @@ def duplicate_regions(files: DataFrame, size: int = 5) -> DataFrame:
 
 
 def region_groups(regions: DataFrame) -> DataFrame:
-    """Measures of each group of two regions or more, by the lines they repeat."""
+    """Measures of each group of two regions or more, by the lines they repeat, and its regions as ``path:first-last``."""
     size = F.col("end_line") - F.col("start_line") + 1
-    found = regions.groupBy("group_id").agg(F.max(size).alias("line_count"), F.count("*").alias("copy_count"), F.min(F.struct("path", "start_line")).alias("first")).where("copy_count >= 2")
+    place = F.struct("path", "start_line", "end_line")
+    found = regions.groupBy("group_id").agg(F.max(size).alias("line_count"), F.count("*").alias("copy_count"), F.sort_array(F.collect_list(place)).alias("places")).where("copy_count >= 2")
     total = F.col("line_count") * (F.col("copy_count") - 1)
-    return found.select("group_id", "line_count", "copy_count", total.alias("total_duplicate_lines"), F.col("first.path").alias("first_path"), F.col("first.start_line").alias("first_line"))
+    shown = F.array_join(F.transform("places", lambda x: F.concat(x["path"], F.lit(":"), x["start_line"].cast("string"), F.lit("-"), x["end_line"].cast("string"))), " ")
+    first = F.col("places")[0]
+    return found.select("group_id", "line_count", "copy_count", total.alias("total_duplicate_lines"), first["path"].alias("first_path"), first["start_line"].alias("first_line"), shown.alias("regions"))
+
+
+def previews(groups: DataFrame, files: DataFrame, most: int = 6) -> DataFrame:
+    """Groups with ``preview``: the first lines of their first region."""
+    text = files.select(F.col("path").alias("first_path"), split_lines(F.col("text")).alias("rows"))
+    shown = F.slice("rows", F.col("first_line"), F.least(F.lit(most), F.col("line_count")))
+    return groups.join(text, "first_path").select(*groups.columns, shown.alias("preview"))
+
+
+def gate(groups: DataFrame) -> DataFrame:
+    """One row: whether there is any duplicate, for a run that should fail on them."""
+    return groups.agg((F.count("*") > 0).alias("failed"))

@@ -5,7 +5,7 @@ Iterative ones write each round to the shared folder and read it again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalens.plans.staging import drop, stage
@@ -84,31 +84,30 @@ def clusters(components_: DataFrame) -> DataFrame:
     return components_.groupBy("scc").agg(F.count("*").alias("size")).where("size > 1")
 
 
-def cycles(nodes: DataFrame, edges: DataFrame, longest: int = 50, most: int = 100) -> DataFrame:
-    """Simple cycles of ``longest`` nodes at most: (scc, path), the least node first.
+def cycles(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+    """Simple cycles: (scc, path), the least node first; of each component the first ``most`` by length and path.
 
-    Paths start at the least node of their cycle and stay in its component; the first
-    ``most`` of a component by length and path are kept (the feature's own limit).
-    Self-loops are cycles of single-node components.
+    Paths start at the least node of their cycle, stay in its component and grow by one node
+    a round, so a component that has its ``most`` cycles, all no longer than what is to
+    come, leaves the search.  Self-loops are cycles of single-node components.
     """
     labels = stage(strong_components(nodes, edges), "cycle-scc")
     once = edges.select("source", "target").distinct()
     own = once.join(labels.select(F.col("node").alias("source"), "scc"), "source").join(labels.select(F.col("node").alias("target"), F.col("scc").alias("other")), "target").where("scc = other")
     inner = stage(own.where("source <> target").select("source", "target", "scc"), "cycle-edges")
     single = labels.groupBy("scc").agg(F.count("*").alias("n")).where("n = 1")
+    order = Window.partitionBy("scc").orderBy(F.size("path"), "path")
     found = own.where("source = target").join(single, "scc", "left_semi").select("scc", F.array("source").alias("path"))
-    paths = inner.where("source < target").select("scc", F.array("source", "target").alias("path"))
-    for _ in range(longest - 1):
-        paths = stage(paths, "cycle-paths")
-        if paths.isEmpty():
-            break
+    paths = held = stage(inner.where("source < target").select("scc", F.array("source", "target").alias("path")), "cycle-paths")
+    while not paths.isEmpty():
         ahead = paths.withColumn("source", F.element_at("path", -1)).join(inner.drop("scc"), "source")
-        found = found.unionByName(ahead.where(F.col("target") == F.col("path")[0]).select("scc", "path"))
+        closed = stage(ahead.where(F.col("target") == F.col("path")[0]).select("scc", "path"), "cycles")
+        found = found.unionByName(closed)
+        full = found.groupBy("scc").agg(F.count("*").alias("n")).where(F.col("n") >= most)
         onward = (F.col("target") > F.col("path")[0]) & ~F.array_contains("path", F.col("target"))
-        paths = ahead.where(onward).select("scc", F.array_append("path", F.col("target")).alias("path"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("scc").orderBy(F.size("path"), "path")
+        paths = stage(ahead.where(onward).join(full, "scc", "left_anti").select("scc", F.array_append("path", F.col("target")).alias("path")), "cycle-paths")
+        drop(held)
+        held = paths
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("scc", "path")
 
 
@@ -136,20 +135,62 @@ def inferred_layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels.join(depth.select(F.col("node").alias("scc"), "depth"), "scc").select("node", (F.lit(top) - F.col("depth")).cast("int").alias("level"))
 
 
-def tree(edges: DataFrame, roots: DataFrame, deepest: int = 50) -> DataFrame:
+def tree_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): those without incoming edges but with outgoing ones; if there are none, the first of largest fan-out."""
+    degrees = stage(fan(nodes, edges), "tree-fan")
+    tops = degrees.where("fan_in = 0 and fan_out > 0").select("node")
+    widest = degrees.where("fan_out > 0").orderBy(F.desc("fan_out"), "node").limit(1).select("node")
+    return widest if tops.isEmpty() else tops
+
+
+def tree(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the dependency tree: (root, depth, path, is_cycle); a node met again above it ends its branch."""
     once = stage(edges.select("source", "target").distinct(), "tree-edges")
-    level = roots.select(F.col("node").alias("root"), F.array("node").alias("path"), F.lit(False).alias("is_cycle"))
-    out = level
-    for _ in range(deepest):
-        level = stage(level, "tree-level")
+    level = out = stage(roots.select(F.col("node").alias("root"), F.array("node").alias("path"), F.lit(False).alias("is_cycle")), "tree-level")
+    while not level.isEmpty():
         ahead = level.where("not is_cycle").withColumn("source", F.element_at("path", -1)).join(once, "source")
-        level = ahead.select("root", F.array_append("path", F.col("target")).alias("path"), F.array_contains("path", F.col("target")).alias("is_cycle"))
-        if level.isEmpty():
-            break
+        level = stage(ahead.select("root", F.array_append("path", F.col("target")).alias("path"), F.array_contains("path", F.col("target")).alias("is_cycle")), "tree-level")
         out = out.unionByName(level)
     return out.select("root", (F.size("path") - 1).alias("depth"), "path", "is_cycle")
 
 
+def drawn(rows: DataFrame) -> DataFrame:
+    """The tree as text lines in order: (text)."""
+    own = F.element_at("path", -1)
+    text = F.concat(F.repeat(F.lit("    "), F.col("depth")), F.when(F.col("is_cycle"), F.concat(F.lit("[CYCLE -> "), own, F.lit("]"))).otherwise(own))
+    return rows.orderBy("path").select(text.alias("text"))
+
+
+def graph_stats(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: files of both languages, edges, and edges between languages."""
+    kinds = files.where("ext in ('.py', '.m')").agg(F.count("*").alias("files"), F.count_if(F.col("ext") == ".py").alias("py_files"), F.count_if(F.col("ext") == ".m").alias("m_files"))
+    return kinds.join(F.broadcast(edges.agg(F.count("*").alias("edges"), F.count_if("cross_language").alias("cross_language"))), F.lit(True))  # one row each
+
+
+def fan_threshold(nodes: DataFrame) -> DataFrame:
+    """One row: the fan from which a file is shown, a tenth of the files, at least 1."""
+    return nodes.agg(F.greatest(F.lit(1).cast("long"), F.floor(F.count_distinct("node") / 10)).alias("threshold"))
+
+
+def one_file(edges: DataFrame, name: str) -> DataFrame:
+    """Edges into and out of the nodes whose path ends with ``name``."""
+    own = lambda c: F.col(c).endswith(name)
+    out = edges.where(own("source")).select(F.lit("out").alias("direction"), "source", "target")
+    return out.unionByName(edges.where(own("target")).select(F.lit("in").alias("direction"), "source", "target"))
+
+
+def exported(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(section, json): nodes with their fans, edges, cycles and clusters."""
+    row = lambda df, section, value: df.select(F.lit(section).alias("section"), F.to_json(value).alias("json"))
+    every = nodes.select("node").union(edges.select("source")).union(edges.select("target")).distinct()
+    labels = stage(strong_components(every, edges), "export-scc")
+    groups = labels.groupBy("scc").agg(F.sort_array(F.collect_list("node")).alias("files")).where(F.size("files") > 1)
+    parts = [row(fan(every, edges), "nodes", F.struct("node", "fan_in", "fan_out")), row(edges, "edges", F.struct("source", "target", "type", "raw", "cross_language")), row(cycles(every, edges), "cycles", F.struct("path")), row(groups, "clusters", F.struct("files"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def edge_table(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(rows, "source string, target string")

@@ -203,10 +203,11 @@ def blame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BLAME, "path string, line int, author string, ts_epoch long")
 
 
-def values_sql() -> str:
-    """The tree as a DuckDB VALUES list of (path, text)."""
+def values_sql(texts: dict[str, str] | None = None) -> str:
+    """A tree as a DuckDB VALUES list of (path, text)."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return "(VALUES " + ", ".join(f"({quote(p)}, {quote(t)})" for p, t in sorted(TEXTS.items())) + ") AS f(path, text)"
+    return "(VALUES " + ", ".join(f"({quote(p)}, {quote(t)})" for p, t in sorted((texts or TEXTS).items())) + ") AS f(path, text)"
+
 
 #: A second tree, for variable flow.
 FLOW = {
@@ -284,3 +285,107 @@ def rows_sql(rows: list[tuple], columns: str) -> str:
     cast = ", ".join(f"CAST({name} AS {to[kind]}) AS {name}" for name, kind in kinds)
     names = ", ".join(name for name, _ in kinds)
     return f"(SELECT {cast} FROM (VALUES " + ", ".join("(" + ", ".join(map(sql_value, r)) + ")" for r in rows) + f") AS t({names}))"
+
+#: A third tree: MATLAB sources, and the Python files they call.
+MATLAB = {
+    path: dedent(text).lstrip("\n")
+    for path, text in {
+        "main.m": """
+            function [a, b] = outer(x, y, unused)
+              % it's a comment with if
+              global G H
+              if x > 0 && y(end) > 1
+                for k = 1:3
+                  s = 'if end % no';
+                end
+              elseif y || x
+                while true
+                end
+              end
+              a = double(x) + ...
+                  y;   % note
+              load data.mat P Q
+              [c, ~, d.f] = size(a);
+              for k = 1:c
+                t = sprintf("done", k);
+                disp(k)
+              end
+              if any(y) > plot(y, k)
+              end
+              helper(a, c);
+            end
+
+            function other(z)
+              a = z';
+              Box(a);
+              run('scripts/start')
+            end
+            """,
+        "helper.m": """
+            function r = helper(p, q)
+            persistent n
+            try
+              fid = fopen(p);
+              load('a.mat')
+            catch
+              % nothing
+            end
+            try
+              n = 1;
+            catch ME
+              disp(MEX)
+              if q
+                rethrow(ME)
+              end
+            end
+            try
+              n = 2;
+            catch err
+              n = 3; % err
+            end
+            fid = fopen(q);
+            data = fread(fid);
+            f2 = fopen(p);
+            n = p;
+            if f2 == -1
+            end
+            eval('x'); v = py.tools.clean.strip(n);
+            fprintf(1, n);
+            """,
+        "noend.m": """
+            function one(a)
+            if a
+              b = 1;
+            end
+            function two(b)
+            c = b;
+            """,
+        "scripts/start.m": """
+            %{
+            helper(1)
+            %}
+            x = 1;
+            x = x + 1;
+            y = lonely(x);
+            addpath('lib');
+            run next;
+            pyrunfile("job.py", 1);
+            pyrun('import numpy.linalg');
+            pyrun("from tools import clean")
+            z = "a % b"; w = noend(z); % two(z)
+            """,
+        "scripts/next.m": "disp('next')\n",
+        "lib/@Box/area.m": "function s = area(o)\ns = o;\nend\n",
+        "lib/lonely.m": "function q = lonely(p)\nend\n",
+        "test_case.m": "function test_case\neval('1')\nend\n",
+        "tools/__init__.py": "",
+        "tools/clean.py": "def strip(x):\n    return x\n",
+        "job.py": "print(1)\n",
+        "idle.py": "x = 1\n",
+        "lib/dead.m": "function dead()\nend\n",
+    }.items()
+}
+
+
+def matlab_files(spark: SparkSession) -> DataFrame:
+    return literal(spark, MATLAB)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.operators import audit, complexity, deps, duplicates, errors, graph, secrets, stale
+from stratalens.operators import audit, complexity, deps, duplicates, errors, graph, matlab, matlab_deps, secrets, stale
 from stratalens.registry import query
 from stratalens.plans import corpus
+from stratalens.plans.code_sql import SQL
+from stratalens.plans.staging import stage
 from stratalens.sources import files, pyfacts
 
 #: Fixed edges for the graph operators.
@@ -60,10 +62,11 @@ def dup_total_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("n_groups"), F.sum("n_blocks").alias("n_blocks"), F.max("n_files").alias("most_files"), F.sum("duplicate_lines").alias("duplicate_lines"))
 
 
-@query("dup_regions_corpus")
+@query("dup_regions_corpus", SQL["dup_regions_corpus"])
 def dup_regions_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of regions that agree after normalisation."""
-    return duplicates.region_groups(duplicates.duplicate_regions(corpus.files(spark)))
+    """Groups of regions that agree after normalisation, and where they lie."""
+    regions = duplicates.duplicate_regions(corpus.files(spark))
+    return duplicates.region_groups(regions).select("line_count", F.col("copy_count"), F.col("total_duplicate_lines").cast("long").alias("total_duplicate_lines"), "regions")
 
 
 _LITERAL_SQL = f"""WITH {_lines_sql("documents", "doc_id", "text", "documents", ".txt")},
@@ -107,55 +110,127 @@ def secret_rules_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.rule_findings(files.lines(corpus.files(spark))).select("path", "line", "severity", "label", "matched_text")
 
 
-@query("secret_scan_corpus")
+@query("secret_scan_corpus", SQL["secret_scan_corpus"])
 def secret_scan_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(corpus.files(spark))
+    """Rules and literals of high entropy, without what is harmless; values as they may be shown."""
+    return secrets.scan(corpus.files(spark)).select("path", "line", "severity", "label", "truncated")
 
 
-@query("markers_corpus")
+@query("secret_severities_corpus", SQL["secret_severities_corpus"])
+def secret_severities_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.by_severity(secrets.scan(corpus.files(spark)))
+
+
+@query("secret_gate_corpus", SQL["secret_gate_corpus"])
+def secret_gate_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.blocked(secrets.scan(corpus.files(spark)))
+
+
+@query("markers_corpus", SQL["markers_corpus"])
 def markers_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stale.with_blame(stale.markers(corpus.files(spark)), corpus.blame(spark), corpus.NOW)
 
 
-@query("commented_code_corpus")
-def commented_code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _commented(spark: SparkSession) -> DataFrame:
     return stale.with_blame(stale.commented_code(corpus.files(spark)), corpus.blame(spark), corpus.NOW)
 
 
+@query("commented_code_corpus", SQL["commented_code_corpus"])
+def commented_code_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _commented(spark).withColumn("lines", F.array_join("lines", "\n"))
+
+
+@query("comment_ages_corpus", SQL["comment_ages_corpus"])
+def comment_ages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many markers and commented blocks there are of each age."""
+    return stale.age_histogram(markers_corpus(spark, sf_dir).select("staleness").unionByName(_commented(spark).select("staleness")))
+
+
 def _nodes(spark: SparkSession) -> DataFrame:
-    return pyfacts.ast_nodes(corpus.files(spark))
+    """Facts of the tree's Python files, staged: each file is parsed once a query."""
+    return stage(pyfacts.ast_nodes(corpus.files(spark)), "ast-nodes")
 
 
-@query("function_complexity_corpus")
+@query("function_complexity_corpus", SQL["function_complexity_corpus"])
 def function_complexity_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complexity.ranked(complexity.python_functions(_nodes(spark)), top=None)
 
 
-@query("complexity_histogram_corpus")
+@query("function_ranking_corpus", SQL["function_ranking_corpus"])
+def function_ranking_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five functions of highest score, of complexity 2 and above: a top-k report."""
+    return complexity.ranked(complexity.python_functions(_nodes(spark)), threshold=2, top=5)
+
+
+@query("complexity_histogram_corpus", SQL["complexity_histogram_corpus"])
 def complexity_histogram_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complexity.histogram(complexity.python_functions(_nodes(spark)))
 
 
-@query("error_audit_corpus")
+@query("complexity_summary_corpus", SQL["complexity_summary_corpus"])
+def complexity_summary_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complexity.summary(complexity.python_functions(_nodes(spark)))
+
+
+@query("error_audit_corpus", SQL["error_audit_corpus"])
 def error_audit_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return errors.audit(corpus.files(spark), _nodes(spark))
+    return errors.audit(corpus.files(spark), _nodes(spark)).select("path", "line", "severity", "title", F.array_join("code_lines", "\n").alias("excerpt"))
+
 
+@query("error_severities_corpus", SQL["error_severities_corpus"])
+def error_severities_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.by_severity(errors.issues(_nodes(spark)))
 
-@query("dependency_edges_corpus")
+
+@query("dependency_edges_corpus", SQL["dependency_edges_corpus"])
 def dependency_edges_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deps.python_edges(corpus.files(spark), _nodes(spark))
 
 
-@query("dead_files_corpus")
+@query("dead_files_corpus", SQL["dead_files_corpus"])
 def dead_files_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deps.dead_files(corpus.files(spark), _nodes(spark))
 
 
-@query("reference_counts_corpus")
+@query("reference_counts_corpus", SQL["reference_counts_corpus"])
 def reference_counts_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deps.reference_counts(corpus.files(spark), _nodes(spark))
 
 
+def _matlab_nodes(spark: SparkSession) -> DataFrame:
+    return stage(pyfacts.ast_nodes(corpus.matlab_files(spark)), "ast-nodes")
+
+
+@query("dead_files_matlab", SQL["dead_files_matlab"])
+def dead_files_matlab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deps.dead_files(corpus.matlab_files(spark), _matlab_nodes(spark))
+
+
+@query("references_matlab", SQL["references_matlab"])
+def references_matlab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deps.references(corpus.matlab_files(spark), _matlab_nodes(spark)).where("source <> target")
+
+
+@query("dead_report_matlab", SQL["dead_report_matlab"])
+def dead_report_matlab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deps.dead_report(corpus.matlab_files(spark), _matlab_nodes(spark))
+
+
+@query("matlab_spans", SQL["matlab_spans"])
+def matlab_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matlab.function_spans(matlab.matlab_lines(corpus.matlab_files(spark)))
+
+
+@query("matlab_functions", SQL["matlab_functions"])
+def matlab_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matlab.matlab_functions(corpus.matlab_files(spark))
+
+
+@query("matlab_issues", SQL["matlab_issues"])
+def matlab_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matlab.matlab_issues(corpus.matlab_files(spark))
+
+
 def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     edges = graph.edge_table(spark, EDGES)
     return edges.select(F.explode(F.array("source", "target")).alias("node")).distinct(), edges
@@ -203,10 +278,10 @@ def graph_inferred_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.inferred_layers(*_graph(spark))
 
 
-@query("dependency_tree_corpus")
+@query("dependency_tree_corpus", SQL["dependency_tree_corpus"])
 def dependency_tree_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = deps.python_edges(corpus.files(spark), _nodes(spark))
-    roots = graph.fan(corpus.files(spark).where("ext = '.py'").select(F.col("path").alias("node")), edges).where("fan_in = 0 and fan_out > 0")
+    edges = stage(deps.python_edges(corpus.files(spark), _nodes(spark)), "edges")
+    roots = graph.tree_roots(corpus.files(spark).where("ext = '.py'").select(F.col("path").alias("node")), edges)
     return graph.tree(edges, roots).select("root", "depth", F.array_join("path", " > ").alias("path"), "is_cycle")
 
 
