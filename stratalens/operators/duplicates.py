@@ -103,9 +103,12 @@ def matched_blocks(files: DataFrame, size: int = 5, normal: bool = True) -> Data
     return kept.withColumn("idx", F.row_number().over(Window.partitionBy("path").orderBy("start_line")))
 
 
-def region_pairs(blocks: DataFrame) -> DataFrame:
+def region_pairs(blocks: DataFrame, star: bool = False) -> DataFrame:
     """Maximal runs of matching blocks of two regions: (f1, s1, e1, f2, s2, e2, n_blocks).
 
+    star: each place of a digest meets its first place only, so the pairs are as many as the
+    places, however common a block; regions that hold the same text are still linked, by it.
+
     Blocks of a digest meet in an equi-join (a pair of places is the answer asked for, so the
     number of pairs is that of places matched, twice over a digest); runs are islands of equal
     difference of the two block numbers.  Within one file a run ends where the regions would
@@ -113,6 +116,9 @@ def region_pairs(blocks: DataFrame) -> DataFrame:
     """
     a = blocks.select("digest", F.col("path").alias("f1"), F.col("idx").alias("i1"), F.col("start_line").alias("s1"), F.col("end_line").alias("e1"))
     b = blocks.select("digest", F.col("path").alias("f2"), F.col("idx").alias("i2"), F.col("start_line").alias("s2"), F.col("end_line").alias("e2"))
+    if star:
+        first = blocks.groupBy("digest").agg(F.min(F.struct("path", "start_line")).alias("f")).select("digest", F.col("f.path").alias("f1"), F.col("f.start_line").alias("s1"))
+        a = a.join(first, ["digest", "f1", "s1"], "left_semi")
     pairs = a.join(b, "digest").where("(f1 < f2 or (f1 = f2 and s1 < s2)) and not (f1 = f2 and e1 >= s2)")
     run = Window.partitionBy("f1", "f2", F.col("i2") - F.col("i1")).orderBy("i1")
     pairs = pairs.withColumn("island", F.col("i1") - F.row_number().over(run)).withColumn("gap", F.col("i2") - F.col("i1"))

@@ -107,3 +107,26 @@ def age_histogram(found: DataFrame) -> DataFrame:
     """(staleness, n) with all five names."""
     names = found.sparkSession.createDataFrame([(n,) for n in ("FRESH", "AGING", "STALE", "ANCIENT", "UNKNOWN")], "staleness string")
     return names.join(found.groupBy("staleness").agg(F.count("*").alias("n")), "staleness", "left").na.fill(0, ["n"])
+
+
+def listed(found_markers: DataFrame, found_blocks: DataFrame, markers_only: bool = False, code_only: bool = False, stale_only: bool = False, by: str = "age") -> DataFrame:
+    """Markers and commented blocks, with blame, as one sorted list: (path, line, kind, text, age_seconds, staleness).
+
+    by ``age``: the oldest first, an unknown age as none; ``file``; or ``type``: markers, by word, before blocks.
+    """
+    marked = found_markers.select("path", "line", F.col("keyword").alias("kind"), "text", "age_seconds", "staleness", F.lit(0).alias("order"))
+    blocks = found_blocks.select("path", F.col("start_line").alias("line"), F.lit("COMMENTED CODE").alias("kind"), F.col("line_count").cast("string").alias("text"), "age_seconds", "staleness", F.lit(1).alias("order"))
+    rows = marked if markers_only and not code_only else blocks if code_only and not markers_only else marked.unionByName(blocks)
+    if stale_only:
+        rows = rows.where("staleness in ('STALE', 'ANCIENT')")
+    keys = {"age": [F.coalesce("age_seconds", F.lit(0)).desc(), "path", "line"], "file": ["path", "line"], "type": ["order", "kind", "line", "path"]}[by]
+    return rows.orderBy(*keys).drop("order")
+
+
+def summary(found_markers: DataFrame, found_blocks: DataFrame) -> DataFrame:
+    """One row: markers, commented blocks and their lines, files with any, and how many are stale."""
+    old = lambda: F.count_if(F.col("staleness").isin("STALE", "ANCIENT"))
+    m = found_markers.agg(F.count("*").alias("markers"), old().alias("stale_markers"))
+    b = found_blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("line_count"), F.lit(0)).cast("long").alias("block_lines"), old().alias("stale_blocks"))
+    files = found_markers.select("path").unionByName(found_blocks.select("path")).agg(F.count_distinct("path").alias("files"))
+    return m.join(F.broadcast(b), F.lit(True)).join(F.broadcast(files), F.lit(True))  # one row each

@@ -203,6 +203,17 @@ def blame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(BLAME, "path string, line int, author string, ts_epoch long")
 
 
+#: What ``git blame -p`` says of a file of four lines and three commits, one of them in two places.
+_SHA = ("a" * 40, "b" * 40, "c" * 40)
+PORCELAIN = {
+    "stale.py": "\n".join([
+        f"{_SHA[0]} 1 1 2", "author ann", "author-mail <ann@example.org>", "author-time 1699000000", "author-tz +0000", "summary first", "filename stale.py", "\t# TODO: split this", f"{_SHA[0]} 2 2", "\tx = 1",
+        f"{_SHA[1]} 3 3 1", "author bob b.", "author-time 1680000000", "summary author of it", "filename stale.py", "\tauthor = 3", f"{_SHA[0]} 9 4 1", "\tauthor-time 7", f"{_SHA[2]} 5 5 1", "filename stale.py", "\ty", "",
+    ]),
+    "none.py": "",
+}
+
+
 def values_sql(texts: dict[str, str] | None = None) -> str:
     """A tree as a DuckDB VALUES list of (path, text)."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"

@@ -12,10 +12,11 @@ from stratalens.plans.staging import stage
 from stratalens.registry import query
 from stratalens.sources import flowfacts
 
-_EVENTS = [row for path, text in corpus.FLOW.items() for row in flowfacts.events(path, text)]
 _TAGS = "transform, transform_category, sink, sink_category"
-#: n: nodes, e: edges, with the same meaning as in operators.flow, written as plain joins.
-SQL = f"""WITH RECURSIVE ev AS {rows_sql(_EVENTS, flowfacts.SCHEMA)}, f AS (SELECT * FROM (VALUES {", ".join(f"({sql_value(p)})" for p in corpus.FLOW)}) AS t(path)),
+def sql(texts: dict[str, str]) -> str:
+    """CTEs: n: nodes, e: edges, with the same meaning as in operators.flow, written as plain joins."""
+    events = [row for path, text in texts.items() if path.endswith(".py") for row in flowfacts.events(path, text)]
+    return f"""WITH RECURSIVE ev AS {rows_sql(events, flowfacts.SCHEMA)}, f AS (SELECT * FROM (VALUES {", ".join(f"({sql_value(p)})" for p in texts if p.endswith(".py"))}) AS t(path)),
     b AS (SELECT path, seq, node, name, scopes[len(scopes)] AS own FROM ev WHERE event = 'bind' AND name IS NOT NULL),
     r AS (SELECT path, seq, name, unnest(scopes) AS own, generate_subscripts(scopes, 1) AS depth FROM ev WHERE event = 'read'),
     m AS (SELECT r.path, r.seq, r.depth, arg_max(b.node, b.seq) AS found FROM r JOIN b ON b.path = r.path AND b.own = r.own AND b.name = r.name AND b.seq < r.seq GROUP BY ALL),
@@ -38,6 +39,9 @@ SQL = f"""WITH RECURSIVE ev AS {rows_sql(_EVENTS, flowfacts.SCHEMA)}, f AS (SELE
     reach AS (SELECT id FROM n WHERE name = 'url' UNION SELECT dst FROM reach JOIN e ON src = id),
     fwd AS (SELECT id AS start, [id] AS chain, id AS tip FROM n WHERE name = 'x' UNION ALL SELECT start, list_append(chain, dst), dst FROM fwd JOIN e ON src = tip WHERE NOT list_contains(chain, dst)),
     back AS (SELECT id AS start, [id] AS chain, id AS tip FROM n WHERE name = 'loop' UNION ALL SELECT start, list_prepend(src, chain), src FROM back JOIN e ON dst = tip WHERE NOT list_contains(chain, src))"""
+
+
+SQL = sql(corpus.FLOW)
 _AT = ("name", "path", "line", "scope", "kind")
 
 

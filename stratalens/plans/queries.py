@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.operators import audit, complexity, deps, duplicates, errors, graph, matlab, matlab_deps, secrets, stale
+from stratalens.operators import complexity, deps, duplicates, errors, graph, matlab, secrets, stale
 from stratalens.registry import query
 from stratalens.plans import corpus
 from stratalens.plans.code_sql import SQL
@@ -273,18 +273,8 @@ def graph_layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.layer_violations(_graph(spark)[1], spark.createDataFrame(LAYERS, "node string, level int"))
 
 
-@query("graph_inferred_layers")
-def graph_inferred_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.inferred_layers(*_graph(spark))
-
-
 @query("dependency_tree_corpus", SQL["dependency_tree_corpus"])
 def dependency_tree_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = stage(deps.python_edges(corpus.files(spark), _nodes(spark)), "edges")
     roots = graph.tree_roots(corpus.files(spark).where("ext = '.py'").select(F.col("path").alias("node")), edges)
     return graph.tree(edges, roots).select("root", "depth", F.array_join("path", " > ").alias("path"), "is_cycle")
-
-
-@query("audit_scorecard_corpus")
-def audit_scorecard_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.scorecard(audit.findings(corpus.files(spark), _nodes(spark)))

@@ -3,8 +3,12 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from stratalens.operators import audit, graph
 from stratalens.registry import ORACLES, QUERIES
+from stratalens.sources import files
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -83,3 +87,39 @@ def test_duplicate_regions(spark):
 
 def test_inferred_layers(spark):
     assert rows(spark, "graph_inferred_layers", "node", "level") == [("a", 2), ("b", 2), ("c", 2), ("d", 1), ("e", 1), ("f", 0), ("g", 3), ("h", 3)]
+
+
+def test_long_cycle_and_deep_tree(spark):
+    """No depth is cut: a ring of 60 nodes is a cycle, a chain of 60 a branch."""
+    ring = [(f"n{k:02}", f"n{(k + 1) % 60:02}") for k in range(60)]
+    edges = graph.edge_table(spark, ring)
+    nodes = edges.select(F.col("source").alias("node"))
+    assert [len(r.path) for r in graph.cycles(nodes, edges).collect()] == [60]
+    line = graph.edge_table(spark, ring[:-1])
+    assert graph.tree(line, graph.tree_roots(nodes, line)).agg(F.max("depth")).first()[0] == 59
+    assert [r.node for r in graph.tree_roots(nodes, edges).collect()] == ["n00"]
+
+
+def test_cycles_of_a_dense_component_stop(spark):
+    edges = graph.edge_table(spark, [(f"n{a}", f"n{b}") for a in range(9) for b in range(9) if a != b])
+    found = graph.cycles(edges.select(F.col("source").alias("node")).distinct(), edges).collect()
+    assert len(found) == 100 and max(len(r.path) for r in found) == 3
+
+
+def test_audit_run(spark):
+    def of(name, files, nodes):
+        if name == "secrets":
+            raise ValueError("broken")
+        if name == "errors":
+            return spark.range(10**13).selectExpr("sum(sin(id)) s").where("s > 2")
+        return spark.range(3 if name == "stale" else 0)
+
+    chosen = [a for a in audit.ANALYSES if a.name in ("secrets", "errors", "stale", "dead files")]
+    got = {r.category: (r.status, r.n) for r in audit.run(spark, None, None, chosen, seconds=3.0, of=of).collect()}
+    assert got == {"secrets": ("SKIP (ValueError)", 0), "errors": ("SKIP (timeout)", 0), "stale": ("3 issues", 3), "dead files": ("CLEAN", 0)}
+
+
+def test_selection(spark):
+    python, both = files.literal(spark, {"a.py": ""}), files.literal(spark, {"a.py": "", "b.m": ""})
+    assert not {a.lang for a in audit.selected(python)} & {"matlab"} and len(audit.selected(both)) == len(audit.ANALYSES)
+    assert not any(a.slow for a in audit.selected(both, quick=True)) and not {a.lang for a in audit.selected(both, python=False)} & {"python"}

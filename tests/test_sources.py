@@ -1,13 +1,14 @@
 """Files, lines and the in-row text functions."""
 
 import math
+import subprocess
 
 from pyspark.sql import functions as F
 
 from stratalens.functions.text import entropy
 from stratalens.operators import duplicates, secrets
 from stratalens.plans.staging import stage
-from stratalens.sources import files
+from stratalens.sources import blame, files
 
 
 def test_tree(spark, tmp_path):
@@ -22,6 +23,25 @@ def test_tree(spark, tmp_path):
     assert got == {"pkg/a.py": (".py", "x = 1\r\ny = '�'\n"), ".env": ("", "A=1\n"), "pkg/__init__.py": (".py", "")}
 
 
+def test_tree_of_an_odd_root(spark, tmp_path):
+    root = tmp_path / "a+b (1)"
+    (root / "pkg").mkdir(parents=True)
+    (root / "pkg" / "m.py").write_bytes(b"x")
+    (root / "pkg" / "_m.py").write_bytes(b"y")
+    assert sorted(tuple(r) for r in files.tree(spark, str(root)).collect()) == [("pkg/_m.py", ".py", "y"), ("pkg/m.py", ".py", "x")]
+
+
+def test_blame(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=ann", "-c", "user.email=a@example.org", *a], cwd=tmp_path, check=True, capture_output=True)
+    (tmp_path / "m.py").write_text("x = 1\ny = 2\n")
+    run("init", "-q")
+    run("add", "m.py")
+    run("commit", "-q", "-m", "one")
+    asked = spark.createDataFrame([("m.py",), ("unknown.py",)], "path string")
+    found = blame.porcelain(blame.blame_output(asked, str(tmp_path))).collect()
+    assert sorted((r.path, r.line, r.author) for r in found) == [("m.py", 1, "ann"), ("m.py", 2, "ann")] and all(r.ts_epoch > 1e9 for r in found)
+
+
 def test_lines(spark):
     found = files.lines(files.literal(spark, {"a.txt": "one\r\ntwo\rthree\n\nfive", "b.txt": "", "c.txt": "x\x0cy"}))
     assert sorted((r.path, r.line, r.raw) for r in found.collect()) == [("a.txt", 1, "one"), ("a.txt", 2, "two"), ("a.txt", 3, "three"), ("a.txt", 4, ""), ("a.txt", 5, "five"), ("c.txt", 1, "x\x0cy")]
