@@ -3,7 +3,7 @@
 Codes: vectors are lengthened by one component so that all have the largest norm (then
 the largest inner product is the least angle), centred, projected on their principal
 directions and turned by iterative-quantisation rotations, as many as give ``bits``
-signs; the signs are the code.  Mean, directions, rotations and radius are fitted on a
+signs; the signs are the code.  Mean, directions and rotations are fitted on a
 bounded hash sample of rows; every row is indexed.
 
 Index: a code is split into 8-bit substrings, each with a table of 256 buckets.  Of two
@@ -16,10 +16,11 @@ part.  Pairs within r leave from the first substring that finds them, so none le
 twice; they meet their vectors in blocks of rows and are reranked by inner products in
 double precision.
 
-The radius covers ``cover`` of the true neighbours, as the sample shows them: the rank
-that counts there is k scaled by the share of rows sampled, so it falls as a table
-grows denser.  Queries that find fewer than k rows are asked again with twice the radius,
-up to the length of the code, where every row is found.
+Each query has a radius of its own, in which about ``enough`` codes of the table are
+expected: its distances to the sample's codes are close to normal, so their mean and
+spread say where that share of all codes ends, at any size of the table.  A radius is
+no cap: every code within it is reranked.  Queries that find fewer than k rows are asked
+again with twice the radius, up to the length of the code, where every row is found.
 
 Copies: equal vectors are one entry of the index, of which the k + 1 least ids can
 matter to a query; so a group of copies is met once, however large.
@@ -33,13 +34,14 @@ repeated candidate row as often as it occurs.  Ties go to the smaller vec_id.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.base import read, stage
+from stratalens.llm.base import drop, read, stage
 
 POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 DISTANCE = POPCOUNT[np.bitwise_xor.outer(np.arange(256), np.arange(256))]
@@ -52,7 +54,15 @@ class Codes:
     mean: np.ndarray
     turn: np.ndarray  # directions times rotations
     norm: float
-    radius: int = 0
+    sample: np.ndarray | None = None  # the sample's codes
+
+    def radii(self, code: np.ndarray, share: float) -> np.ndarray:
+        """For each query code the distance within which a share of all codes is expected."""
+        bits = 8 * code.shape[1]
+        if share >= 1 or len(self.sample) < 20:
+            return np.full(len(code), bits)
+        apart = hamming(code, self.sample).astype(float)
+        return np.clip(np.floor(apart.mean(1) + apart.std(1) * NormalDist().inv_cdf(share)), 0, bits).astype(int)
 
     def of(self, v: np.ndarray, query: bool = False) -> np.ndarray:
         """Codes as rows of bytes; queries are neither lengthened nor centred."""
@@ -70,8 +80,8 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(v: np.ndarray, norm: float, bits: int, k: int, n: int, cover: float, turns: int = 25) -> Codes:
-    """v: sampled rows of n."""
+def fit(v: np.ndarray, norm: float, bits: int, turns: int = 25) -> Codes:
+    """v: sampled rows."""
     extra = np.sqrt(np.maximum(norm**2 - (v * v).sum(1), 0))
     long = np.hstack([v, extra[:, None]])
     mean = long.mean(0)
@@ -84,19 +94,14 @@ def fit(v: np.ndarray, norm: float, bits: int, k: int, n: int, cover: float, tur
             rotation = (u @ w).T
         turned.append(axes.T @ rotation)
     codes = Codes(mean, np.hstack(turned)[:, :bits], norm)
-    some = v[:: max(1, len(v) // 512)][:512]
-    scores = some @ v.T
-    rank = max(1, -(-k * len(v) // n))
-    near = np.argsort(-scores, axis=1)[:, 1 : rank + 1]
-    found = np.take_along_axis(hamming(codes.of(some, True), codes.of(v)), near, 1)
-    codes.radius = int(np.quantile(found, cover)) if found.size else bits
+    codes.sample = codes.of(v)
     return codes
 
 
-def reaches(radius: int, m: int) -> np.ndarray:
-    """For each of m substrings the distance to probe, -1 for none: what holds every code within the radius."""
-    t, a = divmod(radius, m)
-    return np.array([t if j <= a else t - 1 for j in range(m)])
+def reaches(radius: np.ndarray, m: int) -> np.ndarray:
+    """For each radius and each of m substrings the distance to probe, -1 for none: what holds every code within the radius."""
+    t, a = np.divmod(np.asarray(radius)[:, None], m)
+    return np.where(np.arange(m) <= a, t, t - 1)
 
 
 @dataclass
@@ -158,11 +163,8 @@ def code_rows(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def candidates(index: DataFrame, asked: DataFrame, shards: Shards, radius: int, m: int) -> DataFrame:
-    """(query_id, cid) of all pairs within the radius; index (cid, code), asked (query_id, code)."""
-    reach = reaches(radius, m)
-    # seen[t][value, shard bucket]: the buckets within t bits of a value.
-    within = {int(t): DISTANCE <= t for t in set(reach)}
+def candidates(index: DataFrame, asked: DataFrame, shards: Shards, m: int) -> DataFrame:
+    """(query_id, cid) of all pairs within the query's radius; index (cid, code), asked (query_id, code, radius)."""
 
     def rows(batches):
         for batch in batches:
@@ -170,50 +172,52 @@ def candidates(index: DataFrame, asked: DataFrame, shards: Shards, radius: int,
             j = np.arange(m)
             spread = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
             shard = shards.number[j, code] + spread[:, None] % shards.parts[j, code]
-            yield dealt_batch(shard.ravel(), 0, np.repeat(ids, m), batch.column(1).take(pa.array(np.repeat(np.arange(len(ids)), m))))
+            yield dealt_batch(shard.ravel(), np.full(shard.size, -1), np.repeat(ids, m), batch.column(1).take(pa.array(np.repeat(np.arange(len(ids)), m))))
 
     def questions(batches):
         for batch in batches:
-            ids, code = batch.column(0).to_numpy(zero_copy_only=False), code_rows(batch.column(1), m)
-            shard, at = [], []
+            ids, code, radius = batch.column(0).to_numpy(zero_copy_only=False), code_rows(batch.column(1), m), batch.column(2).to_numpy(zero_copy_only=False)
+            shard, at, reach = [], [], reaches(radius, m)
             for k, own in enumerate(code):
                 for j in range(m):
-                    if reach[j] >= 0:
-                        near = np.flatnonzero(within[int(reach[j])][own[j]])
+                    if reach[k, j] >= 0:
+                        near = np.flatnonzero(DISTANCE[own[j]] <= reach[k, j])
                         first, parts = shards.number[j, near], shards.parts[j, near]
                         hit = np.unique(np.concatenate([first, *(np.arange(f, f + p) for f, p in zip(first[parts > 1], parts[parts > 1], strict=True))]))
                         shard.append(hit)
                         at.append(np.full(len(hit), k))
             shard, at = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (shard, at))
-            yield dealt_batch(shard, 1, ids[at], batch.column(1).take(pa.array(at)))
+            yield dealt_batch(shard, radius[at], ids[at], batch.column(1).take(pa.array(at)))
 
-    def dealt_batch(shard, asks, ids, code):
-        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.full(len(shard), asks), pa.int32()), pa.array(ids, pa.int64()), code], ["shard", "asks", "id", "code"])
+    def dealt_batch(shard, radius, ids, code):
+        """Rows of the index have no radius: -1."""
+        return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(radius, pa.int32()), pa.array(ids, pa.int64()), code], ["shard", "radius", "id", "code"])
 
-    schema = "shard int, asks int, id long, code binary"
-    dealt = index.select("cid", "code").mapInArrow(rows, schema).unionByName(asked.select("query_id", "code").mapInArrow(questions, schema))
-    dealt = dealt.repartition(min(len(shards.table), 4096), "shard").sortWithinPartitions("shard", "asks")
+    schema = "shard int, radius int, id long, code binary"
+    dealt = index.select("cid", "code").mapInArrow(rows, schema).unionByName(asked.select("query_id", "code", "radius").mapInArrow(questions, schema))
+    dealt = dealt.repartition(min(len(shards.table), 4096), "shard").sortWithinPartitions("shard", "radius")
 
-    def met(j, ids, code, starts, query_ids, query_code):
+    def met(j, ids, code, starts, query_ids, query_code, radius):
         """Pairs of a block of queries and the rows of one shard, sorted by their bucket."""
+        reach = reaches(radius, m)
         for value in np.flatnonzero(np.diff(starts)):
-            asks = np.flatnonzero(within[int(reach[j])][value][query_code[:, j]])
+            asks = np.flatnonzero(DISTANCE[value][query_code[:, j]] <= reach[:, j])
             a, b = starts[value], starts[value + 1]
             step = max(1, PAIRS // max(1, b - a))
             for at in range(0, len(asks), step):
                 some = asks[at : at + step]
-                q, r = np.nonzero(hamming(query_code[some], code[a:b]) <= radius)
+                q, r = np.nonzero(hamming(query_code[some], code[a:b]) <= radius[some, None])
                 q, r = some[q], r + a
                 # Found here first: no substring before this one is as near as it has to be.
-                early = (POPCOUNT[query_code[q, :j] ^ code[r, :j]] <= reach[:j]).any(1)
+                early = (POPCOUNT[query_code[q, :j] ^ code[r, :j]] <= reach[q, :j]).any(1)
                 yield query_ids[q[~early]], ids[r[~early]]
 
     def work(batches):
         held, ids, codes, table = -1, [], [], None
         for batch in batches:
-            shard, asks, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            code = code_rows(batch.column(3), m)
-            edges = [0, *(np.flatnonzero((np.diff(shard) != 0) | (np.diff(asks) != 0)) + 1).tolist(), len(own)]
+            shard, radius, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            code, asks = code_rows(batch.column(3), m), radius >= 0
+            edges = [0, *(np.flatnonzero((np.diff(shard) != 0) | (asks[1:] != asks[:-1])) + 1).tolist(), len(own)]
             for a, b in zip(edges, edges[1:], strict=False):
                 if a == b:
                     continue
@@ -224,13 +228,13 @@ def candidates(index: DataFrame, asked: DataFrame, shards: Shards, radius: int,
                     ids.append(own[a:b])
                     codes.append(code[a:b])
                     continue
-                if not ids or reach[j] < 0:
+                if not ids:
                     continue
                 if table is None:
                     whole = np.vstack(codes)
                     order = np.argsort(whole[:, j], kind="stable")
                     table = np.concatenate(ids)[order], whole[order], np.searchsorted(whole[order, j], np.arange(257))
-                for q, r in met(j, *table, own[a:b], code[a:b]):
+                for q, r in met(j, *table, own[a:b], code[a:b], radius[a:b]):
                     yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(r, pa.int64())], ["query_id", "cid"])
 
     return dealt.mapInArrow(work, "query_id long, cid long")
@@ -288,7 +292,7 @@ def reranked(found: DataFrame, classes: DataFrame, asked: DataFrame, n_blocks: i
     return dealt.mapInArrow(work, "query_id long, cid long, other long, first long, score double")
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", bits: int = 256, sample: int = 4096, cover: float = 0.98, shard_rows: int = 16384, block_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", bits: int = 256, sample: int = 4096, enough: int = 1000, shard_rows: int = 16384, block_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows where ``queries`` (over vec_id) holds; bits: a multiple of 64."""
     spark = vectors.sparkSession
     schema, m = "query_id long, rank int, vec_id long, score double", bits // 8
@@ -301,7 +305,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "
     chance = F.pmod(F.xxhash64(F.lit("ann"), F.col("vec_id")), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.where(chance < sample / n).select("vec_id", "v").limit(2 * sample).collect() or rows.select("vec_id", "v").limit(sample).collect()
     picked.sort(key=lambda r: (r["vec_id"], r["v"]))
-    codes = fit(matrix(pa.array([r["v"] for r in picked]), d), float(whole["top"]) ** 0.5, bits, k, n, cover)
+    codes = fit(matrix(pa.array([r["v"] for r in picked]), d), float(whole["top"]) ** 0.5, bits)
 
     # A class is one vector and the k + 1 least ids that hold it.
     place = Window.partitionBy("cid", "other").orderBy("vec_id")
@@ -312,7 +316,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "
     def coded(query):
         def work(batches):
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns, raw_codes(codes.of(matrix(batch.column(1), d), query))], [*batch.schema.names, "code"])
+                code = codes.of(matrix(batch.column(1), d), query)
+                more = [raw_codes(code)] + [pa.array(codes.radii(code, enough / n), pa.int32())] * query
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *["code", "radius"][: len(more)]])
 
         return work
 
@@ -320,7 +326,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "
     classes = rows.join(first.withColumn("vec_id", F.col("first")), ["cid", "other", "vec_id"]).dropDuplicates(["cid", "other"])
     classes = stage(classes.select("cid", "v", "other", "first").mapInArrow(coded(False), f"cid long, v {kind}, other long, first long, code binary"), "ann-classes")
     asked = rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = stage(asked.select(F.col("vec_id").alias("query_id"), "v").mapInArrow(coded(True), f"query_id long, v {kind}, code binary"), "ann-queries")
+    asked = stage(asked.select(F.col("vec_id").alias("query_id"), "v").mapInArrow(coded(True), f"query_id long, v {kind}, code binary, radius int"), "ann-queries")
 
     def histogram(batches):
         sizes = np.zeros(m * 256, np.int64)
@@ -335,24 +341,24 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, id_column: str = "
     shards = Shards.of(sizes.reshape(m, 256), shard_rows)
 
     n_blocks = -(-int(sizes[:256].sum()) // block_rows)
-    out, radius = None, codes.radius
+    out = None
     while True:
-        found = stage(candidates(classes, asked, shards, radius, m), "ann-pairs")
+        found = stage(candidates(classes, asked, shards, m), "ann-pairs")
         scored = reranked(found, classes, asked, n_blocks, d, k)
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "first")
         kept = scored.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k + 1).select("query_id", "cid", "other", "score")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         ranked = kept.join(members.drop("at"), ["cid", "other"]).where("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         ranked = stage(ranked.select("query_id", "rank", "vec_id", "score"), "ann-found")
-        if radius >= bits:
-            return ranked if out is None else out.unionByName(ranked)
-        full = ranked.where(F.col("rank") == k).select("query_id")
-        done = ranked.join(full, "query_id", "left_semi")
+        drop(found)
+        # Done are queries with k rows, and those that have met every row.
+        over = ranked.where(F.col("rank") == k).select("query_id").union(asked.where(F.col("radius") >= bits).select("query_id")).distinct()
+        done = ranked.join(over, "query_id", "left_semi")
         out = done if out is None else out.unionByName(done)
-        asked = stage(asked.join(full, "query_id", "left_anti"), "ann-queries")
+        wider = F.least(2 * F.col("radius") + 1, F.lit(bits)).alias("radius")
+        asked = stage(asked.join(over, "query_id", "left_anti").select("query_id", "v", "code", wider), "ann-queries")
         if asked.isEmpty():
             return out
-        radius = min(bits, 2 * radius + 1)
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stratalens.llm import ann, htmltext
 
@@ -44,8 +45,8 @@ def test_probing_finds_every_code_within_the_radius_once(spark):
     for radius, rows in ((0, 50), (7, 50), (21, 1000), (64, 7)):
         shards = ann.Shards.of(sizes, rows)
         index = spark.createDataFrame([(k, bytearray(c.tobytes())) for k, c in enumerate(code)], "cid long, code binary")
-        asked = spark.createDataFrame([(k, bytearray(code[k].tobytes())) for k in range(0, 600, 7)], "query_id long, code binary")
-        got = sorted(map(tuple, ann.candidates(index, asked, shards, radius, 8).collect()))
+        asked = spark.createDataFrame([(k, bytearray(code[k].tobytes())) for k in range(0, 600, 7)], "query_id long, code binary").withColumn("radius", F.lit(radius))
+        got = sorted(map(tuple, ann.candidates(index, asked, shards, 8).collect()))
         assert got == [(q, int(r)) for q in range(0, 600, 7) for r in np.flatnonzero(ann.hamming(code[q : q + 1], code)[0] <= radius)]
 
 
@@ -56,7 +57,7 @@ def test_nearest_with_copies_and_ties(spark):
     v[~v.any(1)] = 1
     df = spark.createDataFrame([(k, [float(x) for x in row]) for k, row in enumerate(v)], "vec_id long, embedding array<float>")
     got = {}
-    for r in ann.nearest(df, df.vec_id % 20 == 0, k=5, cover=1.0, shard_rows=16, block_rows=32, sample=1000).collect():
+    for r in ann.nearest(df, df.vec_id % 20 == 0, k=5, enough=120, shard_rows=16, block_rows=32, sample=1000).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     hits = 0
     for q in range(0, 300, 20):
