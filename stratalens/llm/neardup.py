@@ -37,6 +37,8 @@ from stratalens.operators.graph import components
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, (2, 1024), dtype=np.uint64) | np.uint64(1)
 
 
+#: Parts that the holders of one shingle are dealt over.
+SALTS = 16
 #: Most common shingles that are broadcast, of 16 bytes each; beyond it they are shuffled as well.
 HOT_SHINGLES = 1_000_000
 
@@ -156,7 +158,10 @@ def _rare_pairs(rest: DataFrame, texts: DataFrame, words: int, percent: int) ->
     # Sizes that allow the likeness lie in neighbouring bands, so a common shingle's holders meet by bands, the smaller set in
     # its own, the larger in those below too (two, against rounding).
     band = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
-    kept = stage(kept.join(mixed, "h", "left_semi").withColumn("band", band.cast("int")), "prefixes")
+    # All of a large group of near copies hold its shingles: they are dealt over salts.
+    salts = mixed.select("h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = kept.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), F.lit(SALTS)).cast("int"))
+    kept = stage(salted.join(salts, ["h", "salt"], "left_semi").drop("salt").withColumn("band", band.cast("int")), "prefixes")
     other = kept.select("h", F.explode(F.sequence(F.col("band") - 2, F.col("band"))).alias("band"), F.col("id").alias("y"), F.col("n").alias("m"), F.col("c").alias("d"), F.col("p").alias("q"))
     smaller = F.struct("n", "id") < F.struct(F.col("m").alias("n"), F.col("y").alias("id"))
     # From the first shingle shared on, the sets must have enough places left for the likeness.
