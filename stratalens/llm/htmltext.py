@@ -38,6 +38,7 @@ import html
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from functools import lru_cache
 from math import isqrt
 
 import pyarrow as pa
@@ -170,9 +171,12 @@ def differenced(own: list[str], neighbours: list[list[str] | None], marked: bool
     votes: Counter[int] = Counter()
     asked = 0
     for other in pages:
-        shared = common(own, other)
-        both = Counter(own[i] for i in shared)
-        mine, theirs = list((Counter(own) - both).elements()), list((Counter(other) - both).elements())
+        if distinct(tuple(own)).isdisjoint(distinct(tuple(other))):
+            shared, mine, theirs = [], own, other
+        else:
+            shared = common(own, other)
+            both = Counter(own[i] for i in shared)
+            mine, theirs = list((Counter(own) - both).elements()), list((Counter(other) - both).elements())
         copy = reworded(mine, theirs)
         long = 2 * sum(len(own[i]) for i in shared) > whole
         if not copy and (not long or mine and theirs):
@@ -190,16 +194,24 @@ def differenced(own: list[str], neighbours: list[list[str] | None], marked: bool
     return [x for i, x in enumerate(own) if i not in gone]
 
 
+#: A page meets its neighbours and theirs within a few pages: what is told of its lines is kept so long.
+@lru_cache(maxsize=8)
+def distinct(own: tuple) -> frozenset:
+    return frozenset(own)
+
+
+@lru_cache(maxsize=8)
+def word_pairs(side: tuple) -> Counter:
+    words = " ".join(side).split()
+    return Counter(zip(words, words[1:], strict=False)) if len(words) >= EDITED else Counter()
+
+
 def reworded(a: list[str], b: list[str]) -> bool:
     """Whether lines look like edits of each other: of ``EDITED`` words or more, at least half of the word pairs in common."""
-    pairs = []
-    for side in (a, b):
-        words = " ".join(side).split()
-        if len(words) < EDITED:
-            return False
-        pairs.append(Counter(zip(words, words[1:], strict=False)))
-    x, y = pairs
-    return 2 * (x & y).total() >= min(x.total(), y.total())
+    x, y = word_pairs(tuple(a)), word_pairs(tuple(b))
+    if not x or not y:
+        return False
+    return 2 * sum(min(x[k], y[k]) for k in x.keys() & y.keys()) >= min(x.total(), y.total())
 
 
 #: Pages of other lines that are looked at on each side.
