@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from stratalens.sources.files import lines, split_lines
 
-# The marker words, and what code looks like after its comment sign.
+# The marker words, and what code looks like after its comment sign; one alternation a language, so that a
+# line is matched once.
 MARKERS = ("TODO", "FIXME", "HACK", "XXX", "TEMP", "WORKAROUND")
 MARKER = rf"(?iU)\b({'|'.join(MARKERS)})\b[\s:]*(.*)$"
 _WORDS = {
