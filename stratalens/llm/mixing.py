@@ -15,9 +15,11 @@ Targets are tables (group, share) of a margin where given; without one the obser
 shares tempered by ``source_power``, ``lang_power`` and ``topic_power``: below 1 they raise
 small groups.  Every source and language is a margin group of its own.  Given shares count
 in proportion, over the groups that have tokens; a group the table lacks gets none.
-Topics are clusters of hashed, idf-weighted words (spherical k-means over a bounded
-sample), numbered from 0; the mean of a text's language is taken off first, so that topics
-are not languages under another name.  Up to ``here`` cells are raked on the driver, more by the same
+Topics are clusters of hashed, idf-weighted words (spherical k-means over all documents,
+texts of equal word shares and language as one), numbered from 0; the mean of a text's
+language is taken off first, so that topics are not languages under another name.  Sums
+are of whole numbers, so the order of rows and partitions changes nothing; the driver
+holds the sums only, 4 KB for each language and topic.  Up to ``here`` cells are raked on the driver, more by the same
 steps as joins and aggregates over the table of cells, each round staged.
 
 Nulls: a null source or language is a group of its own; a null text has no tokens and
@@ -34,48 +36,122 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.llm import textnum
-from stratalens.llm.base import as_bytes, chosen, drop, read, stage, tune
+from stratalens.llm.base import as_bytes, drop, read, stage, tune
 
 BITS = 9
 NONE = "\x00null"
 
 
+def word_counts(raw: bytes | None) -> np.ndarray:
+    """Numbers of hashed words."""
+    h = textnum.word_hashes(raw.lower()) if raw else np.zeros(0, np.uint64)
+    return np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+
+
 def word_vector(raw: bytes | None) -> tuple[np.ndarray, int]:
     """(square roots of hashed word shares, number of words)."""
-    h = textnum.word_hashes(raw.lower()) if raw else np.zeros(0, np.uint64)
-    return textnum.unit_sqrt(np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)), len(h)
+    counts = word_counts(raw)
+    return textnum.unit_sqrt(counts), int(counts.sum())
+
+
+#: One in the sums of vectors, which are of whole numbers.
+ONE = 1 << 24
 
 
 class Topics:
-    """Spherical k-means of what a text's words tell beyond its language: vectors less the mean of their language's rows."""
-
-    def __init__(self, x: np.ndarray, langs: list, n: int, turns: int = 20):
-        some = x.any(1) if len(x) else np.zeros(0, bool)
-        x, langs = (x[some] if len(x) else x.reshape(0, 1 << BITS)), [lang for lang, ok in zip(langs, some, strict=True) if ok]
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
-        self.means = {}
-        y = self._unit(x * self.idf)
-        self.means = {lang: y[[v == lang for v in langs]].mean(0) for lang in set(langs)}
-        y = self._scaled(x, langs)
-        rng = np.random.default_rng(9)
-        self.centres = y[np.sort(rng.choice(len(y), min(n, len(y)), replace=False))] if len(y) else np.zeros((1, 1 << BITS), np.float32)
-        for _ in range(turns):
-            own = (y @ self.centres.T).argmax(1) if len(y) else np.zeros(0, int)
-            for k in range(len(self.centres)):
-                if (own == k).any():
-                    self.centres[k] = self._unit(y[own == k].sum(0)[None])[0]
+    """What a text's words tell beyond its language: vectors less the mean of their language's rows, and their centres."""
+
+    def __init__(self, idf: np.ndarray, means: dict, centres: np.ndarray):
+        self.idf, self.means, self.centres = idf, means, centres
 
     @staticmethod
     def _unit(y: np.ndarray) -> np.ndarray:
         return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
 
-    def _scaled(self, x: np.ndarray, langs: list) -> np.ndarray:
+    def weighted(self, x: np.ndarray) -> np.ndarray:
+        return self._unit(x * self.idf)
+
+    def scaled(self, x: np.ndarray, langs: list) -> np.ndarray:
         zero = np.zeros(1 << BITS, np.float32)
-        less = np.array([self.means.get(lang, zero) for lang in langs], np.float32).reshape(-1, 1 << BITS)
-        return self._unit(self._unit(x * self.idf) - less)
+        names = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
+        table = np.array([self.means.get(lang, zero) for lang in names], np.float32).reshape(-1, 1 << BITS)
+        less = table[[names[lang] for lang in langs]] if langs else table
+        return self._unit(self.weighted(x) - less)
+
+    def nearest(self, y: np.ndarray) -> np.ndarray:
+        return np.einsum("ij,kj->ik", y, self.centres).argmax(1)  # a row's sums don't depend on its batch, as those of @ do
 
     def of(self, x: np.ndarray, langs: list) -> np.ndarray:
-        return np.where(x.any(1), (self._scaled(x, langs) @ self.centres.T).argmax(1), len(self.centres) - 1)
+        return np.where(x.any(1), self.nearest(self.scaled(x, langs)), len(self.centres) - 1)
+
+
+def unpacked(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of packed word counts."""
+    counts = np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, 1 << BITS)
+    return np.sqrt(counts / counts.sum(1, keepdims=True, dtype=np.int64), dtype=np.float32)
+
+
+def summed(rows: DataFrame, part) -> dict[str, np.ndarray]:
+    """Sums by key over all rows (lang, x); part(langs, vectors) gives (key, whole numbers, of one length) pairs."""
+
+    def work(batches):
+        held: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for key, v in part(batch.column(0).to_pylist(), unpacked(batch.column(1))):
+                held[key] = held[key] + v if key in held else v
+            if len(held) > 256:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.list_(pa.int64()))], ["key", "v"])
+                held = {}
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.list_(pa.int64()))], ["key", "v"])
+
+    parts = rows.mapInArrow(work, "key string, v array<long>").groupBy("key").agg(F.collect_list("v").alias("v"))
+    both = F.aggregate(F.slice("v", 2, F.size("v")), F.col("v")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    got = parts.select("key", both.alias("v")).toArrow()
+    return {key.as_py(): np.array(v.values) for key, v in zip(got["key"], got["v"], strict=True)}
+
+
+def learned_topics(docs: DataFrame, n: int, turns: int = 20) -> Topics:
+    """Spherical k-means of all docs (text, lang), by passes over their staged vectors; it starts at the n rows of least hash."""
+
+    def packed(batches):
+        for batch in batches:
+            counts = [word_counts(raw) for raw in as_bytes(batch.column(0))]
+            some = [c.any() for c in counts]
+            # Of equal shares, equal bytes.
+            x = [(c // np.gcd.reduce(c)).astype(np.uint32).tobytes() for c, ok in zip(counts, some, strict=True) if ok]
+            yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(some, pa.bool_())), pa.array(x, pa.binary())], ["lang", "x"])
+
+    def by(keys: list, y: np.ndarray):
+        """Sums of the rows of each key, and their number."""
+        names = {key: k for k, key in enumerate(dict.fromkeys(keys))}
+        own = np.zeros((len(names), len(y)))
+        own[[names[key] for key in keys], np.arange(len(y))] = 1
+        sums = own @ np.rint(y.astype(np.float64) * ONE)  # exact: whole numbers below 2**53
+        return [(key, np.append(sums[k], own[k].sum()).astype(np.int64)) for key, k in names.items()]
+
+    rows = stage(docs.select("text", F.coalesce(F.col("lang"), F.lit(NONE)).alias("lang")).mapInArrow(packed, "lang string, x binary").distinct(), "mix-vectors")
+    has = summed(rows, lambda langs, x: [("", np.append((x > 0).sum(0), len(x)))]).get("", np.zeros((1 << BITS) + 1, np.int64))
+    model = Topics((np.log((1 + has[-1]) / (1 + has[:-1])) + 0.1).astype(np.float32), {}, np.zeros((1, 1 << BITS), np.float32))
+    model.means = {lang: (v[:-1] / ONE / v[-1]).astype(np.float32) for lang, v in summed(rows, lambda langs, x: by(langs, model.weighted(x))).items()}
+    first = rows.orderBy(F.xxhash64(F.lit("centre"), "lang", "x"), "lang", "x").limit(n).toArrow()
+    if first.num_rows:
+        model.centres = model.scaled(unpacked(first["x"]), first["lang"].to_pylist())
+
+    def nearest(langs, x):
+        y = model.scaled(x, langs)
+        return by([str(k) for k in model.nearest(y)], y)
+
+    for _ in range(turns):
+        after = model.centres.copy()
+        for k, v in summed(rows, nearest).items():
+            after[int(k)] = Topics._unit(v[None, :-1] / ONE)[0]
+        same, model.centres = np.array_equal(after, model.centres), after
+        if same:
+            break
+    drop(rows)
+    return model
 
 
 def rake(cells: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray], cap: np.ndarray | float = np.inf, rounds: int = 300, close: float = 1e-9) -> tuple[np.ndarray, float]:
@@ -211,23 +287,15 @@ def wanted(cells: DataFrame, source_power: float = 0.8, lang_power: float = 0.8,
     return goals(cells, {"source": source_power, "lang": lang_power, "topic": topic_power}, {"source": source_target, "lang": lang_target, "topic": topic_target})
 
 
-def mix(docs: DataFrame, fraction: float = 0.8, topics: int = 8, sample: int = 3000, here: int = 100_000, **how) -> DataFrame:
+def mix(docs: DataFrame, fraction: float = 0.8, topics: int = 8, here: int = 100_000, **how) -> DataFrame:
     """All columns of docs (doc_id, text, lang, source, ..), and mix_topic, mix_tokens, mix_weight, mix_probability, mix_kept.
 
     how: powers and targets, see ``wanted``.
     """
     tune(docs.sparkSession)
 
-    def vectors(batches):
-        for batch in batches:
-            x = [word_vector(raw)[0].tobytes() for raw in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.binary())], ["lang", "x"])
-
     docs = docs.drop("mix_topic", "mix_tokens", "mix_weight", "mix_probability", "mix_kept")
-    picked = docs.where(chosen("topic", sample, docs.count())).select("text", F.coalesce(F.col("lang"), F.lit(NONE)).alias("lang"))
-    got = sorted(tuple(r) for r in picked.mapInArrow(vectors, "lang string, x binary").distinct().collect())
-    stacked = np.stack([np.frombuffer(x, np.float32) for _, x in got]) if got else np.zeros((0, 1 << BITS), np.float32)
-    model = Topics(stacked, [lang for lang, _ in got], topics)
+    model = learned_topics(docs, topics)
 
     def label(batches):
         for batch in batches:

@@ -391,6 +391,33 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_topics(spark):
+    """Topics are those of k-means in one place over all documents, more than any sample of 3,000 holds, however they are dealt."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = mixing.learned_topics(docs, 8, turns=5)
+    packs = set()
+    for r in docs.collect():
+        counts = mixing.word_counts((r.text or "").encode())
+        if counts.any():
+            packs.add((mixing.NONE if r.lang is None else r.lang, (counts // np.gcd.reduce(counts)).astype(np.uint32).tobytes()))
+    langs = [lang for lang, _ in packs]
+    x = np.stack([np.sqrt(c / c.sum()) for c in (np.frombuffer(p, np.uint32).astype(float) for _, p in packs)])
+    assert len(x) > 6000
+    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1
+    assert np.allclose(model.idf, idf, atol=1e-5)
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    y = unit(x * idf)
+    means = {lang: y[[v == lang for v in langs]].mean(0) for lang in set(langs)}
+    assert set(means) == set(model.means) and all(np.allclose(model.means[lang], means[lang], atol=1e-5) for lang in means)
+    y, centres = unit(y - np.array([means[lang] for lang in langs])), mixing.learned_topics(docs, 8, turns=0).centres.astype(float)
+    for _ in range(5):
+        own = (y @ centres.T).argmax(1)
+        centres = unit(np.stack([y[own == k].sum(0) for k in range(8)]))
+    assert np.allclose(model.centres, centres, atol=2e-3)
+    again = mixing.learned_topics(docs.repartition(7), 8, turns=5)
+    assert np.array_equal(again.centres, model.centres) and np.array_equal(again.idf, model.idf)
+
+
 def test_mixing_rare_groups(spark):
     """Small sources and rare languages are margin groups of their own, on the driver and as tables alike."""
     rows = [(k, "word " * 100_000, "en", "large") for k in range(30)] + [(100 + k, "other words", "en", f"small{k}") for k in range(40)] + [(200, "rare words here", "xx", "large")]
