@@ -3,16 +3,19 @@
 Two views of a document.  Content: its words and byte trigrams, hashed, and how often
 words repeat.  Metadata: source, language and character count, and the layout figures
 that come with a page: lines, their lengths, and the shares of capitals, digits, blanks
-and signs; it reads no word.  A logistic model per view is fitted on a bounded labelled
-sample.  For some rounds each model labels the unlabelled pool, and of each label the
+and signs; it reads no word.  A logistic model per view is fitted on labelled rows.  For some rounds each model labels the unlabelled pool, and of each label the
 rows it is surest of, a ``share`` of the pool split as the labels are, are handed to the
 other view as pseudo-labels.  Rank decides, not an absolute confidence, so a view that
 is less sharp hands over rows as well.  At the end both views are calibrated and their
 logits combined by a third logistic model, on labelled rows that neither view was
 fitted on; every document gets the combined score, and is kept from ``threshold`` on.
 
-Sample bounds: about ``most`` labelled rows and ``pool`` unlabelled ones, chosen by a
-hash; only their features are gathered.
+All labelled documents are learned from, and all others are the pool.  Rows are dealt by
+a hash of the id to shards of ``most`` / 2 labelled rows or more; each shard is trained by an
+executor, its pool in blocks of ``pool`` rows, and the logits are the mean of those of all
+blocks (a mixture of weights).  The mean is of whole numbers, so partitions change nothing;
+the driver sees only sums.  Few labels (up to ``FEW``) are repeated over more shards.  A block
+whose labels are all of one kind, or fewer than ten, has no say.
 
 Nulls: a null text counts as empty, null metadata as a value of its own; null labels are
 not learned from and a null id is scored like any other.  Without labels of both kinds
@@ -22,17 +25,17 @@ Columns named as the added ones are replaced by them.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalens.llm import textnum
-from stratalens.llm.base import chosen, read, tune
-from stratalens.llm.toxicity import labelled_sample
+from stratalens.llm.base import read, tune
 
 WORD_BITS, GRAM_BITS = 11, 10
 TEXT_WIDTH = (1 << WORD_BITS) + (1 << GRAM_BITS) + 4
@@ -146,23 +149,94 @@ def both_views(texts: list, langs: list, sources: list, sizes: list) -> tuple[np
     return np.array(t, np.float32).reshape(-1, TEXT_WIDTH), np.array(m, np.float32).reshape(-1, META_WIDTH)
 
 
+#: Labels that are broadcast; more are met in the shuffle of the documents.
+FEW = 100_000
+#: One in the sums of weights, which are of whole numbers.
+ONE = 1 << 32
+
+
+def shards(docs: DataFrame, labels: DataFrame, most: int, pool: int) -> DataFrame:
+    """(shard, quality or null, text, lang, source, n_chars) of all docs, by shards, labelled rows first."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    base, n_known, fields = docs.select("doc_id", "text", "lang", "source", "n_chars"), known.count(), ("text", "lang", "source", "n_chars")
+    n = max(1, n_known // max(1, most // 2))
+    own = F.coalesce(F.xxhash64(F.lit("shard"), F.col("doc_id")), F.lit(0)) if n_known > FEW else F.xxhash64(F.lit("shard"), F.col("doc_id"), F.col("text"))
+    if n_known > FEW:
+        # Documents and labels of an id go to one shard, so whole texts are shuffled once; rows without an id go by text.
+        own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("shard"), "text")).otherwise(own)
+        docs_ = base.select(F.pmod(own, F.lit(n)).alias("shard"), "*", F.lit(None).cast("int").alias("quality"), F.lit(True).alias("own"))
+        empty = [F.lit(None).cast(base.schema[name].dataType).alias(name) for name in fields]
+        labels_ = known.select(F.pmod(F.xxhash64(F.lit("shard"), F.col("doc_id").cast(base.schema["doc_id"].dataType)), F.lit(n)).alias("shard"), "doc_id", *empty, "quality", F.lit(False).alias("own"))
+        rows = docs_.unionByName(labels_).repartition("shard").withColumn("quality", F.max("quality").over(Window.partitionBy("shard", "doc_id"))).where("own")
+    else:
+        n = max(n, docs.count() // (8 * max(1, pool)))
+        times = min(n, -(-n * (most // 2) // max(1, n_known))) if n > 1 else 1
+        turns = F.sequence(F.lit(0), F.when(F.col("quality").isNull(), 0).otherwise(times - 1))
+        rows = base.join(F.broadcast(known), "doc_id", "left").withColumn("turn", F.explode(turns))
+        rows = rows.withColumn("shard", F.pmod(F.pmod(own, F.lit(n)) + F.col("turn"), F.lit(n))).repartition("shard")
+    order = ("shard", F.col("quality").isNull(), F.xxhash64("doc_id", "text"), "doc_id", "text", "lang", "source", "n_chars")
+    return rows.sortWithinPartitions(*order).select("shard", "quality", *fields)
+
+
+def joint(model: Model) -> np.ndarray:
+    """A model's logit as weights of both views and one shift."""
+    (a, b), (c, d) = model.calibration
+    p, q, shift = (float(v) for v in model.mixed[:, 0])
+    return np.concatenate([p * a * model.text[:, 0], q * c * model.meta[:, 0], [p * b + q * d + shift]]).astype(np.float64)
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = 4000, pool: int = 2000, **how) -> Model | None:
     """The co-trained model of docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality)."""
-    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    columns = [F.col("quality").cast("int").alias("quality"), "text", "lang", "source", "n_chars"]
-    known = labelled_sample(base, labels, "quality", most).select(*columns)
-    spare = base.where(chosen("pool", pool, docs.count())).withColumn("quality", F.lit(None).cast("int")).select(*columns)
+    size = TEXT_WIDTH + META_WIDTH + 3
+
+    def work(batches):
+        total, shard, has, spare, seen, fitted = np.zeros(size + 3, np.int64), None, [], [], set(), False
+        stack = lambda some, k, w: np.stack([r[k] for r in some]).astype(np.float32) if some else np.zeros((0, w), np.float32)
+
+        def fit():
+            y = np.array([r[2] for r in has], float)
+            model = cotrain(stack(has, 0, TEXT_WIDTH), stack(has, 1, META_WIDTH), y, stack(spare, 0, TEXT_WIDTH), stack(spare, 1, META_WIDTH), **how)
+            if model:
+                total[:size] += np.rint(joint(model) * ONE).astype(np.int64)
+                total[size:] += np.array([1, *model.handed])
 
-    def views(batches):
         for batch in batches:
-            t, m = both_views(*(batch.column(k).to_pylist() for k in range(1, 5)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary()) for x in (t, m))], ["quality", "t", "m"])
-
-    got = known.unionByName(spare).mapInArrow(views, "quality int, t binary, m binary").distinct().collect()
-    got.sort(key=lambda r: (r["quality"] is None, r["quality"] or 0, r["t"], r["m"]))
-    stack = lambda some, k, w: np.stack([np.frombuffer(r[k], np.float16) for r in some]).astype(np.float32) if some else np.zeros((0, w), np.float32)
-    has, has_not = [r for r in got if r["quality"] is not None], [r for r in got if r["quality"] is None]
-    return cotrain(stack(has, "t", TEXT_WIDTH), stack(has, "m", META_WIDTH), np.array([r["quality"] for r in has], float), stack(has_not, "t", TEXT_WIDTH), stack(has_not, "m", META_WIDTH), **how)
+            if not batch.num_rows:
+                continue
+            t, m = both_views(*(batch.column(k).to_pylist() for k in range(2, 6)))
+            t, m = t.astype(np.float16), m.astype(np.float16)
+            for k, (at, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if at != shard:
+                    if has and (spare or not fitted):
+                        fit()
+                    shard, has, spare, seen, fitted = at, [], [], set(), False
+                mark = hashlib.blake2b(repr(label).encode() + t[k].tobytes() + m[k].tobytes(), digest_size=16).digest()
+                if mark in seen:
+                    continue
+                seen.add(mark)
+                if label is not None:
+                    if len(has) >= 2 * most:  # an id of many texts
+                        fit()
+                        has = []
+                    has.append((t[k].copy(), m[k].copy(), label))
+                elif has:
+                    spare.append((t[k].copy(), m[k].copy()))
+                    if len(spare) >= pool:
+                        fit()
+                        spare, fitted = [], True
+        if has and (spare or not fitted):
+            fit()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "v"])
+
+    sums = shards(docs, labels, most, pool).mapInArrow(work, "at long, v long").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    total = np.zeros(size + 3, np.int64)
+    for r in sums:
+        total[r["at"]] = r["v"]
+    if not total[size]:
+        return None
+    mean = (total[:size] / ONE / total[size]).astype(np.float32)[:, None]
+    text, meta = mean[: TEXT_WIDTH + 1], mean[TEXT_WIDTH + 1 : -1]
+    return Model(text, meta, ((1.0, 0.0), (1.0, 0.0)), np.array([[1], [1], mean[-1]], np.float32), tuple(int(v) for v in total[size + 1 :]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, most: int = 4000, pool: int = 2000, threshold: float = 0.5) -> DataFrame:

@@ -355,6 +355,25 @@ def test_cotraining(spark):
     assert whole > right(alone.score(t[test], m[test]) - 0.5) - 0.02
 
 
+def test_quality_learns_from_all(spark, monkeypatch):
+    """Every labelled document reaches a fit, and every other one the pool, however labels are met; partitions change nothing."""
+    rows = [(k, f"good plain words about topic {k} and more" if k % 2 else f"$$$ {k} !!! buy {k} now", "en", "a", 30) for k in range(900)] + [(None, "no id", "en", "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 900) if k % 3], "doc_id long, quality int")
+    want = sorted((k, k % 2 if k % 3 else None) for k in range(900))
+    models = []
+    for few in (quality.FEW, 100):
+        monkeypatch.setattr(quality, "FEW", few)
+        got = quality.shards(docs, labels, 200, 50).collect()
+        seen = {(r.text, r.quality) for r in got}
+        assert seen == {(rows[k][1], q) for k, q in want} | {("no id", None)} and len({r.shard for r in got}) > 3
+        models.append(quality.learn(docs, labels, 200, 50, rounds=1))
+        again = quality.learn(docs.repartition(5), labels, 200, 50, rounds=1)
+        assert np.array_equal(again.text, models[-1].text) and np.array_equal(again.meta, models[-1].meta)
+    out = quality.quality_scores(docs, labels, 200, 50).where("doc_id % 3 = 0").collect()
+    assert sum(r.quality_predicted == r.doc_id % 2 for r in out) > 0.98 * len(out)
+
+
 def test_quality_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, None), (3, 1)], "doc_id long, quality int")
     got = quality.quality_scores(odd, labels).collect()
